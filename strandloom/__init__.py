@@ -1,0 +1 @@
+"""DNA-metabarcoding analytics on Spark DataFrames."""
