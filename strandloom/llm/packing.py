@@ -44,8 +44,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LEN
         enc = encoder(tokenizer)
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = enc.encode(text) + end
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist())):
+                ids += end
                 rows += [(doc, k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for k, (s, e) in enumerate(cut_points(len(ids) // 4, length))]
             doc, piece, start, size, crc = zip(*rows) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -79,7 +79,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, bits: int, sa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            raw = [_pack_ids(enc.encode(t) + end, bits) for t in b.column("text").to_pylist()]
+            raw = [_pack_ids(ids + end, bits) for ids in enc.encode_all(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([r for r in raw if len(r) <= LONGEST_SAMPLE], pa.binary())], ["raw"])
 
     chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).limit(sample_docs)
@@ -107,8 +107,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, dict
             yield MAGIC
             at = len(MAGIC)
             for b in batches:
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    ids = enc.encode(text) + end
+                for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist())):
+                    ids += end
                     frame = press.compress(_pack_ids(ids, bits))
                     ids_of.append(doc), offsets.append(at), sizes.append(len(frame)), counts.append(len(ids) // 4)
                     at += len(frame)

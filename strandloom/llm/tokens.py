@@ -1,22 +1,32 @@
 """Whole-text encoding with the tokenizers library, one call for each distinct piece of text.
 
-``TextEncoder`` cuts a text before every space that stands between two other characters. A byte-level
-pre-tokenizer starts a new pre-token exactly there, so the ids of the pieces, in order, are the ids of
-the text. Ids of short pieces are kept in a table of bounded size for as long as the Python worker lives.
+``TextEncoder`` cuts a text before every space that stands between two other characters, and, in texts
+whose white space is single spaces and line ends, before every line end. A byte-level pre-tokenizer starts a
+new pre-token exactly there, so the ids of the pieces, in order, are the ids of the text. A mark after a
+letter at the end of a piece is a pre-token as well, so a word with a mark is looked up as the word and
+the mark. Ids of short pieces are kept in a table of bounded size for as long as the Python worker lives.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
-import numpy as np
-
-_AWKWARD = re.compile(r"\s | \s|\A | \Z")
+#: White space but the space and the line end.
+_OTHER_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_MARKS = frozenset(".,;:!?")
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others, in order, from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = _BYTES[0x20]
 #: Pieces kept in a worker's table, and the longest kept piece in characters. The table starts anew when full.
-TABLE_SIZE = 1_000_000
+TABLE_SIZE = 1_500_000
 LONGEST_KEPT = 64
+#: Characters of text whose new pieces are encoded in one call.
+TOGETHER = 1 << 20
 
 
 def load_tokenizer(path: str):
@@ -30,37 +40,89 @@ def load_tokenizer(path: str):
     return tok
 
 
+def _plain(text: str) -> bool:
+    """White space is single spaces and line ends, and not at the text's ends."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace():
+        return False
+    return not any(c in text for c in _OTHER_SPACE)
+
+
 def cut(text: str) -> list[str]:
-    """Pieces of a text; every one but the first is without its leading space."""
-    return _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
+    """Pieces of a text; every one but the first is without its leading space, unless it has a line end there."""
+    return text.replace("\n", " \n").split(" ") if _plain(text) else _CUT.split(text)
+
+
+def _parts(piece: str) -> tuple[str, str]:
+    """A piece as what stands before its last mark, and the mark; the latter is empty if the two are no pre-tokens of their own."""
+    if piece[-1:] in _MARKS and len(piece) > 1 and piece[-2].isalpha() and ord(piece[-2]) < 0x250:
+        return piece[:-1], piece[-1]
+    return piece, ""
 
 
 class TextEncoder:
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
+        self.model = self.tok.model
+        self.by_piece = self.tok.normalizer is None and type(self.tok.pre_tokenizer).__name__ == "ByteLevel"
         self.table: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, self._encode(list(_MARKS)))) | {"": b""}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch(pieces, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """``_encode`` for pieces; of those that are one pre-token of letters the model alone is asked."""
+        out, hard = [b""] * len(words), []
+        tokenize = self.model.tokenize
+        for i, w in enumerate(words):
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
+                out[i] = array("I", [t.id for t in tokenize(_SPACE + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)))]).tobytes()
+            else:
+                hard.append(i)
+        for i, ids in zip(hard, self._encode([words[i] if words[i][:1] == "\n" else " " + words[i] for i in hard])):
+            out[i] = ids
+        return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of the text as little-endian unsigned 32-bit integers; null is empty."""
-        if not text:
-            return b""
-        head, *rest = cut(text)
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Put pieces in the table; those that are too long to stay there."""
+        table, marks = self.table, self.marks
+        new = [p for p in pieces if p not in table]
+        if len(table) + len(new) > TABLE_SIZE:
+            table.clear()
+            new = pieces
+        parts = {p: _parts(p) for p in new}
+        new = list({core for core, _ in parts.values() if core not in table})
+        table.update(zip(new, self._encode_words(new)))
+        table.update((p, table[core] + marks[mark]) for p, (core, mark) in parts.items() if mark)
+        return {p for p in (*parts, *new) if len(p) > LONGEST_KEPT}
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return self._encode(texts)
+        cuts = [cut(t) for t in texts]
+        heads = self._encode([c[0] for c in cuts])
         table = self.table
-        new = [p for p in set(rest) if p not in table]
-        if new:
-            if len(table) + len(new) > TABLE_SIZE:
-                table.clear()
-                new = list(set(rest))
-            table.update(zip(new, self._encode([" " + p for p in new])))
-        out = b"".join([self._encode([head])[0], *map(table.__getitem__, rest)])
-        for p in new:
-            if len(p) > LONGEST_KEPT:
-                del table[p]
+        long = self._learn(set().union(*(c[1:] for c in cuts)))
+        out = [b"".join([h, *map(table.__getitem__, c[1:])]) for h, c in zip(heads, cuts)]
+        for p in long:
+            del table[p]
         return out
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        some, size = [], 0
+        for t in texts:
+            some.append(t or "")
+            size += len(some[-1])
+            if size >= TOGETHER:
+                yield from self._encode_some(some)
+                some, size = [], 0
+        if some:
+            yield from self._encode_some(some)
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
+
 
 _encoders: dict[str, TextEncoder] = {}
 
