@@ -52,10 +52,15 @@ def is_valid(s: Column | str) -> Column:
     return _col(s).rlike(r"^[a-z.\-\[\]]*$")
 
 
+_WINDOW = 128
+
+
 def kmers(s: Column | str, k: int) -> Column:
-    """Array of all substrings of length k, in order."""
+    """Array of all substrings of length k, in order. They are cut out of short windows, as a place in a long text is found by counting from its start."""
     s = _col(s)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    windows = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - k) / _WINDOW).cast("int")), lambda w: F.substr(s, w * _WINDOW + 1, F.lit(_WINDOW + k - 1)))
+    inside = F.flatten(F.transform(windows, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - k + 1), lambda i: F.substr(x, i, F.lit(k)))))
+    return F.when(F.length(s) >= k, inside).otherwise(F.array().cast("array<string>"))
 
 
 def canonical(kmer: Column | str) -> Column:

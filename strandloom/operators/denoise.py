@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.kernels.distance import common_ends, lcs_distance, one_difference
 from strandloom.operators.aggregate import slot_weights
@@ -41,7 +42,7 @@ def one_difference_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("sa", "sb", 1) == 1)
 
 
-@F.pandas_udf("struct<dist:int,pos:int,son:string,father:string>")
+@F.pandas_udf(T.StructType([T.StructField("dist", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("son", T.StringType()), T.StructField("father", T.StringType())]))
 def _difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one_difference(x, y) for x, y in zip(a, b)], columns=["dist", "pos", "son", "father"])
 

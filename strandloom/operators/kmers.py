@@ -7,15 +7,22 @@ operators hash-partition after the explode and combine on the map side.
 
 from __future__ import annotations
 
+import re
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
+from strandloom.operators.patterns import flat_map
+
+_FLIP = str.maketrans("acgt", "tgca")
 
 
 def explode_kmers(df: DataFrame, k: int, *keep: str) -> DataFrame:
     """(keep..., kmer): the canonical k-mers of each record, repeats included."""
-    return df.select(*keep, F.explode(S.canonical_kmers("sequence", k)).alias("kmer"))
+    clean = F.regexp_replace(F.translate(F.lower("sequence"), "u", "t"), "[^acgt]", "a")
+    return df.select(*keep, F.explode(S.kmers(clean, k)).alias("__k")).withColumn("kmer", S.canonical("__k")).drop("__k")
 
 
 def count_kmers(df: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
@@ -150,23 +157,40 @@ def shared_counts(queries: DataFrame, references: DataFrame, k: int, min_shared:
 def superkmers(df: DataFrame, k: int, m: int) -> DataFrame:
     """Maximal runs of k-mers with one minimizer: (parent_id, id, sequence, minimizer_value, minimizer_seq, k, m, start, end).
 
-    Minimizers are canonical m-mers, the smallest code of a k-mer's m-mers; runs come from array
-    expressions within the record, so there is no shuffle.
+    Minimizers are canonical m-mers, the smallest code of a k-mer's m-mers. Runs come from an Arrow kernel
+    beside the record, so there is no shuffle.
     """
-    mm = S.canonical_kmers("sequence", m)
     w = k - m + 1
-    mins = F.transform(F.sequence(F.lit(1), F.size("__m") - w + 1), lambda i: F.array_min(F.slice(F.col("__m"), i, F.lit(w))))
-    base = df.where(F.length("sequence") >= k).withColumn("__m", mm).withColumn("__w", mins)
-    n = F.size("__w")
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.try_element_at("__w", i) != F.try_element_at("__w", F.greatest(i - 1, F.lit(1)))))
-    runs = base.withColumn("__s", starts).select("*", F.posexplode("__s").alias("__i", "__a"))
-    last = F.coalesce(F.try_element_at("__s", F.col("__i") + 2) - 1, F.size("__w"))
-    out = runs.withColumn("__b", last)
-    start, end = F.col("__a") - 1, F.col("__b") + k - 1
-    minimizer = F.element_at("__w", F.col("__a"))
-    return out.select(
-        F.col("id").alias("parent_id"), F.format_string("%s_superkmer_%d_%d", "id", start.cast("int"), end.cast("int")).alias("id"), F.substr("sequence", F.col("__a"), F.col("__b") - F.col("__a") + k).alias("sequence"),
-        S.encode_kmer(minimizer).alias("minimizer_value"), minimizer.alias("minimizer_seq"), F.lit(k).alias("k"), F.lit(m).alias("m"), start.cast("int").alias("start"), end.cast("int").alias("end"),
+
+    def kernel(s: str) -> list[dict]:
+        if len(s) < k:
+            return []
+        plain = re.sub("[^acgt]", "a", s.replace("u", "t"))
+        flipped = plain.translate(_FLIP)[::-1]
+        n = len(s)
+        words = [min(plain[i : i + m], flipped[n - m - i : n - i]) for i in range(n - m + 1)]
+        out, waiting, start, current = [], deque(), 0, None
+        for i, word in enumerate(words):  # the smallest of w words in a row, from a queue of falling candidates
+            while waiting and words[waiting[-1]] >= word:
+                waiting.pop()
+            waiting.append(i)
+            if waiting[0] <= i - w:
+                waiting.popleft()
+            first = i - w + 1
+            if first < 0:
+                continue
+            low = words[waiting[0]]
+            if current is not None and low != current:
+                out.append({"minimizer_seq": current, "start": start, "end": first + k - 1})
+                start = first
+            current = low
+        out.append({"minimizer_seq": current, "start": start, "end": n})
+        return out
+
+    made = flat_map(df.select("id", "sequence"), kernel, "minimizer_seq string, start int, end int")
+    return made.select(
+        F.col("id").alias("parent_id"), F.format_string("%s_superkmer_%d_%d", "id", "start", "end").alias("id"), F.substr("sequence", F.col("start") + 1, F.col("end") - F.col("start")).alias("sequence"),
+        S.encode_kmer("minimizer_seq").alias("minimizer_value"), "minimizer_seq", F.lit(k).alias("k"), F.lit(m).alias("m"), "start", "end",
     )
 
 

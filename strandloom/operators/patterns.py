@@ -57,7 +57,7 @@ def annotate_pattern(df: DataFrame, pattern: str, name: str = "pattern", errors:
     return set_attributes(hit, keys, where).drop("__hit")
 
 
-def _flat_map(df: DataFrame, kernel: Callable[[str], list[dict]], made: str) -> DataFrame:
+def flat_map(df: DataFrame, kernel: Callable[[str], list[dict]], made: str) -> DataFrame:
     """A row for each dict that the kernel makes of a sequence, beside its record's columns, in ``made``'s fields."""
     fields = T._parse_datatype_string(f"array<struct<{made}>>")
     names = fields.elementType.names
@@ -113,7 +113,7 @@ def pcr(df: DataFrame, forward: str, reverse: str, errors: int = 0, min_length:
         work = df.select(*df.columns, F.explode(windows).alias("__offset")).withColumn("sequence", F.substr("sequence", F.col("__offset") + 1, F.lit(step + overlap)))
         work = work.repartition("id", "__offset")
     made = "amplicon string, direction string, forward_match string, reverse_match string, forward_error int, reverse_error int, start int, end int"
-    out = _flat_map(work, lambda s: amplicons(s, f, r, min_length, max_length, circular, flank, full_flanks), made)
+    out = flat_map(work, lambda s: amplicons(s, f, r, min_length, max_length, circular, flank, full_flanks), made)
     first, last = F.col("__offset") + F.col("start"), F.col("__offset") + F.col("end")
     out = out.withColumns({"__first": first, "__last": last})
     if fragment is not None:  # an amplicon in the overlap of two windows comes once
@@ -141,7 +141,7 @@ def split_on_patterns(df: DataFrame, patterns: dict[str, str], errors: int = 4,
         return [{"piece": s[x[1] : y[0]], "n": i + 1, "of": len(pieces), "start": x[1], "end": y[0], "left": x[3], "right": y[3], "left_pattern": x[4], "right_pattern": y[4], "left_match": s[x[0] : x[1]], "right_match": s[y[0] : y[1]], "left_error": x[2], "right_error": y[2]} for i, (x, y) in enumerate(pieces)]
 
     made = "piece string, n int, of int, start int, end int, left string, right string, left_pattern string, right_pattern string, left_match string, right_match string, left_error int, right_error int"
-    out = _flat_map(df, kernel, made)
+    out = flat_map(df, kernel, made)
     pair = F.concat_ws("-", F.array_sort(F.array("left", "right")))
     keys = {f"{group}_frg": F.col("n"), f"{group}_nfrg": F.col("of"), f"{group}_group": pair, f"{group}_set": F.concat_ws("-", "left", "right"), f"{group}_location": F.format_string("%d..%d", F.col("start") + 1, F.col("end")), f"{group}_left_error": F.col("left_error"), f"{group}_right_error": F.col("right_error"), f"{group}_left_match": F.col("left_match"), f"{group}_right_match": F.col("right_match"), f"{group}_left_pattern": F.col("left_pattern"), f"{group}_right_pattern": F.col("right_pattern")}
     a, n = F.col("start") + 1, F.col("end") - F.col("start")
