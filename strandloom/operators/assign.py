@@ -93,6 +93,11 @@ def index_references(references: DataFrame, taxa: DataFrame, word: int = 8) -> D
     return set_attributes(out, {INDEX_KEY: F.col("__index")}).drop("__index")
 
 
+def _by_distance(key: str) -> Column:
+    """An index annotation, whose JSON has distances as text."""
+    return F.transform_keys(F.from_json(raw_attribute(key), "map<string,string>"), lambda k, _: k.cast("int"))
+
+
 def taxon_at_distance(index: Column, distance: Column) -> Column:
     """The taxid at the largest key not above the distance."""
     best = F.array_max(F.filter(F.map_keys(index), lambda k: k <= distance))
@@ -106,7 +111,7 @@ def assign(queries: DataFrame, references: DataFrame, taxa: DataFrame, word: int
     ancestor. Below ``min_identity``, without a candidate, or for fewer than five bases it is the root.
     """
     root_id = root or taxa.where("taxid = parent").select("taxid").first()[0]
-    indexed = references.where(F.map_contains_key("annotations", INDEX_KEY)).select("id", F.from_json(raw_attribute(INDEX_KEY), "map<int,string>").alias("index"))
+    indexed = references.where(F.map_contains_key("annotations", INDEX_KEY)).select("id", _by_distance(INDEX_KEY).alias("index"))
     near = nearest_references(queries, references, word).where(F.col("identity") >= min_identity)
     hits = near.join(indexed.withColumnRenamed("id", "reference"), "reference").withColumn("taxid", taxon_at_distance(F.col("index"), F.col("distance")))
     hits = hits.join(taxa.select("taxid", "path"), "taxid")
@@ -175,7 +180,7 @@ def assign_geometric(queries: DataFrame, references: DataFrame, taxa: DataFrame,
     """Like ``assign`` by squared distance in landmark space; the index is read at the smallest key not below it, else the root."""
     q, r = queries.withColumn("__v", coordinates()), references.withColumn("__v", coordinates())
     near = nearest_in_space(q, r, "__v", "id").withColumnRenamed("id", "query")
-    indexed = references.select(F.col("id").alias("reference"), F.from_json(raw_attribute("geomref_index"), "map<int,string>").alias("index"))
+    indexed = references.select(F.col("id").alias("reference"), _by_distance("geomref_index").alias("index"))
     key = F.array_min(F.filter(F.map_keys("index"), lambda k: k >= F.col("distance")))
     hits = near.join(indexed, "reference").withColumn("taxid", F.coalesce(F.try_element_at("index", key), F.lit(root))).join(taxa.select("taxid", "path"), "taxid")
     per = hits.groupBy("query").agg(F.collect_list(F.struct("path", F.lit(1.0).alias("weight"))).alias("e"), F.min("reference").alias("__best"), F.count(F.lit(1)).alias("__n"), F.min("distance").alias("__d"))

@@ -88,7 +88,7 @@ def _flat(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def _joined(value: Column | str, line: str) -> Column:
     """Texts of all lines of a two-letter kind."""
-    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(rf"(?m)^{line}   (.*)$"), F.lit(1)), F.trim), " ")
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(rf"(?m)^{line}   (.*)$"), F.lit(1)), lambda x: F.trim(x)), " ")
 
 
 def read_embl(spark: SparkSession, paths: Paths, with_features: bool = False, u_to_t: bool = False) -> DataFrame:
@@ -140,7 +140,7 @@ ECOPCR = ["ac", "seq_length", "taxid", "rank", "species_taxid", "species_name",
 def read_ecopcr(spark: SparkSession, paths: Paths) -> DataFrame:
     """Columns parted by bars, 20 without melting temperatures or 22; an accession's further amplicons get ``_2``, ``_3``, ..."""
     rows = _text(spark, paths).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
-    cells = F.transform(F.split("value", r"\s*\|\s*"), F.trim)
+    cells = F.transform(F.split("value", r"\s*\|\s*"), lambda x: F.trim(x))
     short = [c for c in ECOPCR if not c.endswith("_tm")]
     pick = lambda c: F.when(F.size(cells) >= 22, F.try_element_at(cells, F.lit(ECOPCR.index(c) + 1))).otherwise(F.try_element_at(cells, F.lit(short.index(c) + 1)) if c in short else F.lit(None))
     out = rows.select("source", F.monotonically_increasing_id().alias("input_order"), *[pick(c).alias(c) for c in ECOPCR])

@@ -10,7 +10,7 @@ from strandloom.sources.readers import read_sequences
 
 
 def _dump(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.transform(F.split(F.regexp_replace("value", r"\t\|$", ""), r"\t\|\t"), F.trim).alias("c"))
+    return spark.read.text(path).select(F.transform(F.split(F.regexp_replace("value", r"\t\|$", ""), r"\t\|\t"), lambda x: F.trim(x)).alias("c"))
 
 
 def read_taxdump(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -59,7 +59,7 @@ def _parsed(title: pd.Series) -> pd.DataFrame:
                 found, rest = {}, t
         else:
             found, rest = parse_pairs(t)
-        rows.append((list({k: json.dumps(v, separators=(",", ":"), ensure_ascii=False) for k, v in found.items()}.items()), rest))
+        rows.append(({k: json.dumps(v, separators=(",", ":"), ensure_ascii=False) for k, v in found.items()}, rest))
     return pd.DataFrame(rows, columns=["notes", "rest"])
 
 

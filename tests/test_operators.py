@@ -61,7 +61,7 @@ def test_assign(spark):
     refs = as_records(spark.createDataFrame(rows, "id string, sequence string, taxid string"))
     indexed = assign.index_references(refs, taxa).cache()
     index = {r["id"]: r["index"] for r in assign.reference_index(refs, taxa).collect()}
-    assert index["a1"] == {0: "s1", 2: "ga"}
+    assert index["a1"] == {0: "s1", 1: "ga"}
     queries = recs(spark, [("q1", base["a"]), ("q2", swap(base["a"], 10)), ("q3", "t" * 40), ("q4", swap(swap(base["b"], 5), 50))])
     out = {r["id"]: r["taxid"] for r in assign.assign(queries, indexed, taxa).collect()}
     assert out == {"q1": "s1", "q2": "ga", "q3": "1", "q4": "s3"}
