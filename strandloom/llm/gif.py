@@ -367,7 +367,7 @@ def frame_table(media: DataFrame, column: str = "media") -> DataFrame:
     """One row per frame: the other columns, frame, start_cs, delay_cs, width, height, rgba (binary), histogram (64 longs). Damaged media give no row."""
     keys = [c for c in media.columns if c not in (column, "frame", "start_cs", "delay_cs", "width", "height", "rgba", "histogram")]
     schema = T.StructType(list(media.select(*keys).schema.fields))
-    for name, kind in (("frame", "int"), ("start_cs", "long"), ("delay_cs", "long"), ("width", "int"), ("height", "int"), ("rgba", "binary"), ("histogram", "array<long>")):
+    for name, kind in (("frame", T.IntegerType()), ("start_cs", T.LongType()), ("delay_cs", T.LongType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("rgba", T.BinaryType()), ("histogram", T.ArrayType(T.LongType()))):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
