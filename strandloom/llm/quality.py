@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.worker import claim
+
 BUCKETS = 1 << 18
 GRADES = 3
 POWER = 0.4
 #: Documents that have the top grade with less probability are rejected.
 MIN_P = 0.4
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _words: dict[str, bytes] = {}
@@ -51,6 +53,7 @@ def _word_buckets(word: str) -> bytes:
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct buckets of a whole text."""
+    claim("quality", _words.clear)
     words = (text or "").split()
     distinct = set(words)
     new = [w for w in distinct if w not in _words]
@@ -83,7 +86,7 @@ def scale(n: int | np.ndarray) -> float | np.ndarray:
     return np.maximum(n, 1) ** POWER
 
 
-def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> OrdinalModel:
+def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, updates: int = 2400, batch: int = 32, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> OrdinalModel:
     """Adagrad on the cumulative-link likelihood; thresholds are a first one and gaps, kept positive as exponentials."""
     w, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
     part = np.array([np.mean(grades <= k) for k in range(GRADES - 1)]).clip(0.01, 0.99)
@@ -93,6 +96,7 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, epochs: int = 6, batch:
     order = np.random.default_rng(seed)
     weight_of = len(grades) / (GRADES * np.bincount(grades, minlength=GRADES).clip(1))
     weight_of = np.sqrt(weight_of)
+    epochs = max(6, -(-updates * batch // max(len(grades), 1)))  # small samples are seen more often
     for _ in range(epochs if len(grades) else 0):
         shuffled = order.permutation(len(grades))
         for i in range(0, len(grades), batch):
@@ -128,14 +132,15 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("h"), b.column("grade"), pa.array(raw, pa.binary())], ["h", "grade", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> OrdinalModel:
     """Learn from at most ``max_rows`` rated documents, chosen by a hash of doc_id."""
     rated = labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"), F.xxhash64("doc_id").alias("h"))
     n, span = rated.count(), 1 << 40
     rated = rated.where(F.pmod("h", F.lit(span)) < min(span, span * max_rows // max(n, 1)))
     rows = docs.select("doc_id", "text").join(rated, "doc_id").select("h", "grade", "text").limit(2 * max_rows).mapInArrow(_with_features, "h long, grade int, x binary").collect()
-    rows.sort(key=lambda r: (r["h"], r["grade"], r["x"]))
-    return fit_ordinal([np.frombuffer(r["x"], np.int32) for r in rows[:max_rows]], np.array([r["grade"] for r in rows[:max_rows]], int))
+    taken = sorted(((r["h"], r["grade"], bytes(r["x"])) for r in rows))[:max_rows]
+    del rows
+    return fit_ordinal([np.frombuffer(x, np.int32) for _, _, x in taken], np.array([g for _, g, _ in taken], int))
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -151,6 +156,6 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return own.mapInArrow(run, T.StructType(list(own.schema.fields)).add("expected_grade", "double").add("p_good", "double"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, min_p: float = MIN_P, max_rows: int = 16_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, min_p: float = MIN_P, max_rows: int = 12_000) -> DataFrame:
     """The documents that have the top grade with probability ``min_p`` or more."""
     return score(docs, fit(docs, labels, max_rows)).where(F.col("p_good") >= min_p).select(*docs.columns)

@@ -14,6 +14,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+from strandloom.llm.worker import claim
+
 #: White space but the space and the line end.
 _OTHER_SPACE = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -23,7 +25,7 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _SPACE = _BYTES[0x20]
 #: Pieces kept in a worker's table, and the longest kept piece in characters. The table starts anew when full.
-TABLE_SIZE = 1_500_000
+TABLE_SIZE = 1_000_000
 LONGEST_KEPT = 64
 #: Characters of text whose new pieces are encoded in one call.
 TOGETHER = 1 << 20
@@ -129,6 +131,7 @@ _encoders: dict[str, TextEncoder] = {}
 
 def encoder(path: str) -> TextEncoder:
     """This Python worker's encoder for a file."""
+    claim("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
     return _encoders[path]
