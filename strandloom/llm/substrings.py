@@ -21,6 +21,7 @@ have the paragraph's hash; an empty table gives empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+@lru_cache(maxsize=16)
 def _numbers(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(seed * 2 + 1) + np.uint64(seed)) | np.uint64(1)
 
@@ -110,8 +112,14 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
     return places[places <= room]
 
 
-def line_id(shingles: np.ndarray) -> int:
-    return int(_mix(np.array([(_mix(shingles + np.uint64(9)).sum(dtype=np.uint64) + np.uint64(len(shingles)))], np.uint64)).view(np.int64)[0])
+def _segments(values: np.ufunc, of: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A reduction over of[a:b] for each (a, b), which are not empty and in order."""
+    return values.reduceat(np.append(of, of[-1:]), bounds.ravel())[::2]
+
+
+def line_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each line, given the bounds of its shingles."""
+    return _mix(_segments(np.add, _mix(shingles + np.uint64(9)), bounds) + (bounds[:, 1] - bounds[:, 0]).astype(np.uint64))
 
 
 def lines_of(raw: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
@@ -121,10 +129,11 @@ def lines_of(raw: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(cuts, cuts[1:]) if b - a >= MIN_LINE]
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    lows = [(_mix(shingles * m)).min() for m in _numbers(BANDS * ROWS, 3)]
-    rows = np.array(lows, np.uint64).reshape(BANDS, ROWS)
-    return _mix((rows * _numbers(ROWS, 4)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+def band_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Lines x BANDS: a hash of each band's smallest values under ROWS orders."""
+    lows = np.array([_segments(np.minimum, (shingles ^ m) * m, bounds) for m in _numbers(BANDS * ROWS, 3)], np.uint64)
+    rows = lows.T.reshape(len(bounds), BANDS, ROWS)
+    return _mix((rows * _numbers(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
 _SCHEMA = "kind tinyint, id long, doc_id long, first int, size int, keys array<long>, shingles array<int>"
@@ -134,7 +143,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """One row per paragraph: kind 0, content-defined, or 1, a line, with its band keys and distinct shingles (32 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024))):
             kind, ids, of, first, size, keys, sets = [], [], [], [], [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -150,12 +159,18 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     size += [WORDS] * k
                     keys += [None] * k
                     sets += [None] * k
-                for a, e in lines_of(raw, starts):
-                    own = np.unique(sh[a : e - SHINGLE + 1])
-                    ids.append(line_id(sh[a : e - SHINGLE + 1]))
-                    kind.append(1), of.append(doc), first.append(a), size.append(e - a)
-                    keys.append(band_keys(own))
-                    sets.append((own & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+                lines = lines_of(raw, starts)
+                if lines:
+                    bounds = np.array(lines) - [0, SHINGLE - 1]
+                    ids += line_ids(sh, bounds).view(np.int64).tolist()
+                    keys += band_keys(sh, bounds).view(np.int64).tolist()
+                    low = sh.astype(np.uint32).view(np.int32)
+                    sets += [np.unique(low[a:b]) for a, b in bounds.tolist()]
+                    k = len(lines)
+                    kind += [1] * k
+                    of += [doc] * k
+                    first += [a for a, _ in lines]
+                    size += [e - a for a, e in lines]
             arrays = [pa.array(kind, pa.int8()), pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["kind", "id", "doc_id", "first", "size", "keys", "shingles"])
 
@@ -218,7 +233,8 @@ def cut_text(text: str, spans: list[tuple[int, int, int, int, int, int]]) -> str
     for kind, own, first, size, kept, kept_first in spans:
         if first + size > len(hashes):
             continue
-        is_ = line_id(sh[first : first + size - SHINGLE + 1]) if kind else int(paragraph_ids(sh, np.array([first])).view(np.int64)[0])
+        found = line_ids(sh, np.array([[first, first + size - SHINGLE + 1]])) if kind else paragraph_ids(sh, np.array([first]))
+        is_ = int(found.view(np.int64)[0])
         if is_ == own:
             good.append((first, first + size, kept, kept_first))
     parts, at = [], 0
