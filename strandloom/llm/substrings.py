@@ -4,9 +4,8 @@ Paragraphs are of two kinds. Lines of ``MIN_LINE`` words or more are natural one
 stand inside lines, content-defined paragraphs of ``WORDS`` words begin wherever a five-word shingle has
 the smallest hash of ``WINNOW`` shingles in a row: a passage of 50 words or more, wherever it stands,
 has one of them whole. The first kind is banded (``BANDS`` bands of ``ROWS`` MinHash values: a pair of
-similarity 0.8 collides with probability 0.97, one of 0.9 with 0.999); lines that collide are compared
-with the first and last of their bucket by exact Jaccard similarity over five-word shingles, 0.8 or
-more. The second kind has one band of all its shingles: equal paragraphs only, however many.
+similarity 0.8 collides with probability 0.97, one of 0.9 with 0.999); all lines that collide are
+linked by exact Jaccard similarity over five-word shingles, 0.8 or more (``similar_links``). The second kind has one band of all its shingles: equal paragraphs only, however many.
 
 The classes of verified links are components; in each the occurrence in the smallest doc_id stays and
 those in other documents go. What is removed is whole words from the first to the last of a paragraph;
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.common import connected_components, write_table
+from strandloom.llm.similar import similar_links
 
 SHINGLE = 5
 WORDS = 24
@@ -129,11 +129,11 @@ def lines_of(raw: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(cuts, cuts[1:]) if b - a >= MIN_LINE]
 
 
-def band_keys(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Lines x BANDS: a hash of each band's smallest values under ROWS orders."""
-    lows = np.array([_segments(np.minimum, (shingles ^ m) * m, bounds) for m in _numbers(BANDS * ROWS, 3)], np.uint64)
-    rows = lows.T.reshape(len(bounds), BANDS, ROWS)
-    return _mix((rows * _numbers(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+def band_keys(shingles: np.ndarray, bounds: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Lines x bands: a hash of each band's smallest values under ROWS orders."""
+    lows = np.array([_segments(np.minimum, (shingles ^ m) * m, bounds) for m in _numbers(bands * ROWS, 3)], np.uint64)
+    rows = lows.T.reshape(len(bounds), bands, ROWS)
+    return _mix((rows * _numbers(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 _SCHEMA = "kind tinyint, id long, doc_id long, first int, size int, keys array<long>, shingles array<int>"
@@ -178,17 +178,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(src, dst) of line ids: collisions with a bucket's first or last line whose exact similarity suffices."""
-    keyed = lines.select("id", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    met = keyed.join(buckets, "key")
-    pairs = met.select(F.col("low").alias("src"), F.col("id").alias("dst")).union(met.select("id", "high")).where("src <> dst").distinct()
-    pairs, _ = write_table(pairs, "line-pairs")
-    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    sets = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("shingles").alias("s"))
-    a, b = sets.select(F.col("id").alias("src"), F.col("s").alias("x")), sets.select(F.col("id").alias("dst"), F.col("s").alias("y"))
-    both = pairs.join(a, "src").join(b, "dst").withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("src", "dst")
+    """(src, dst) of line ids: links whose components are those of all pairs that share a band and whose exact similarity suffices."""
+    return similar_links(lines.select("id", "keys", "shingles"), similarity)
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strandloom.llm import bpe, chat, embeddings, gif, langid, packing, quality, simhash, substrings, token_output, tokens
+from strandloom.llm import bpe, chat, embeddings, gif, langid, packing, quality, similar, simhash, substrings, token_output, tokens
 from strandloom.llm.common import connected_components, scratch_path
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -281,6 +281,21 @@ def test_substrings(spark, empty):
     assert substrings.remove_repeats(empty).count() == 0 and substrings.repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("dense", [2, 8, 1000])
+def test_line_links_lose_none(spark, monkeypatch, dense):
+    monkeypatch.setattr(similar.similar_links, "__defaults__", (dense, 2))
+    rng = random.Random(11)
+    base = list(range(100))
+    sets = [rng.sample(base, rng.randrange(80, 101)) + rng.sample(range(100, 140), rng.randrange(0, 12)) for _ in range(60)]
+    sets += [list(range(k, k + 90)) for k in range(200, 300, 6)] + [sets[0]]
+    rows = [(i, [i % 3, 7], sorted(s)) for i, s in enumerate(sets)]
+    got = [(r["src"], r["dst"]) for r in substrings.line_links(spark.createDataFrame([*rows, rows[5]], "id long, keys array<long>, shingles array<int>")).collect()]
+    near = lambda a, b: len({*a} & {*b}) >= 0.8 * len({*a} | {*b})
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    assert all(near(sets[a], sets[b]) for a, b in got)
+    assert classes(len(sets), got) == classes(len(sets), links)
+
+
 def test_chat(spark):
     rows = []
     say = lambda c, *turns: rows.extend((c, i, r, t, "more") for i, (r, t) in enumerate(turns))
