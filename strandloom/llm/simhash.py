@@ -9,6 +9,12 @@ use the members' own one-bit neighbourhoods as local pivots: two members at dist
 from the same pivot are within two bits by the triangle inequality, and any two within two bits
 share such a pivot, so a star around each pivot has every link without any pair of the bucket.
 
+The pipeline's stage (``similar_dedup``) has another rule: Jaccard similarity 0.8 over sets of five-word
+shingles. Fingerprints of such pairs differ in about ten of 64 bits, where no block of useful width
+is left equal, so its candidates meet in ``NEAR_BANDS`` MinHash bands of three values (a pair of similarity 0.8
+in one of them with probability 0.999) or within RADIUS bits of five-word fingerprints, and
+all are verified exactly.
+
 Cases: null and wordless texts have fingerprint zero and are linked like any other; repeated rows and
 equal texts collapse to one fingerprint before any join; an empty table gives an empty result; other
 columns of the input are not looked at.
@@ -26,6 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import connected_components, write_table
+from strandloom.llm.similar import similar_links
+from strandloom.llm.substrings import SHINGLE as NEAR_SHINGLE
+from strandloom.llm.substrings import SIMILARITY, band_keys, line_ids, shingles_of, words_of
 
 SEED = 42
 SHINGLE = 3
@@ -33,6 +42,7 @@ RADIUS = 2
 PIVOTS = 16
 DENSE = 48
 _BLOCKS = (13, 13, 13, 13, 12)
+NEAR_BANDS = 10
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -81,11 +91,15 @@ def _block_masks() -> list[int]:
     return masks
 
 
+def _kept_masks() -> list[int]:
+    blocks = _block_masks()
+    return [sum(c) for c in combinations(blocks, len(blocks) - RADIUS)]
+
+
 def fingerprint_links(fps: DataFrame, n_pivots: int = PIVOTS, dense: int = DENSE) -> DataFrame:
     """Distinct ``fp`` -> (src, dst) links whose components are those of all pairs within RADIUS bits."""
     pivots = pivot_values(n_pivots)
-    blocks = _block_masks()
-    kept = [sum(c) for c in combinations(blocks, len(blocks) - 2)]
+    kept = _kept_masks()
     table = fps.select("fp", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots]).alias("pd"))
     keyed = table.select("fp", "pd", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(kept)])).alias("key")).select("fp", "pd", "key.k", "key.v")
     sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -115,11 +129,53 @@ def simhash_classes(docs: DataFrame, n_pivots: int = PIVOTS, dense: int = DENSE)
     return fps.join(ids, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = _kept_masks()
+    for b in (part for whole in batches for part in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))):
+        ids, keys, sets = [], [], []
+        for text in b.column("text").to_pylist():
+            raw = (text or "").encode("utf-8", "surrogatepass").lower()
+            hashes, _, _ = words_of(raw)
+            if not len(hashes):
+                ids.append(0)
+                keys.append([])
+                sets.append([])
+                continue
+            # a text of fewer words is one shingle
+            found = np.unique(shingles_of(hashes) if len(hashes) >= NEAR_SHINGLE else shingles_of(np.resize(hashes, NEAR_SHINGLE)))
+            whole = np.array([[0, len(found)]])
+            fp = fingerprint(text, NEAR_SHINGLE)
+            meet = [xxhash.xxh64_intdigest(f"{i} {fp & m}".encode(), SEED) for i, m in enumerate(kept)]
+            ids.append(int(line_ids(found, whole).view(np.int64)[0]))
+            keys.append(np.concatenate((band_keys(found, whole, NEAR_BANDS)[0], np.array(meet, np.uint64))).view(np.int64))
+            sets.append(found.astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "id", "keys", "shingles"])
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, id, component_id): documents whose sets of five-word shingles have Jaccard similarity 0.8 or more, and those linked through others, share a component."""
+    table, _ = write_table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_near_batches, "doc_id long, id long, keys array<long>, shingles array<int>"), "near")
+    comps = connected_components(similar_links(table.select("id", "keys", "shingles"), similarity))
+    named = table.groupBy("id").agg(F.min("doc_id").alias("low")).join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    ids = named.join(lows, "component").select("id", "component_id")
+    return table.select("doc_id", "id").join(ids, "id", "left").select("doc_id", "id", "component_id")
+
+
+def _keep_first(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    gone = classed.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each class stays: the one with the smallest doc_id. All columns are kept.
 
     Rows that repeat the kept doc_id stay as they are, and so do rows without a doc_id, as nothing
     tells them apart.
     """
-    gone = simhash_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _keep_first(docs, simhash_classes(docs))
+
+
+def similar_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``near_dedup`` by the classes of ``near_classes``."""
+    return _keep_first(docs, near_classes(docs, similarity))

@@ -80,6 +80,18 @@ def test_simhash(spark, docs, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(classes(len(rows), links))
 
 
+def test_similar_dedup(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 200) for _ in range(6)]
+    edit = lambda t, at: " ".join("edited" if i in at else w for i, w in enumerate(t.split()))
+    texts += [edit(texts[0], (30, 100, 170)), edit(texts[1], (5, 60, 120, 180)), edit(texts[2], range(20, 200, 15)), edit(texts[3], (50,)).upper(), "one two", "One  two", "two one", None, " "]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in ((t or "").lower().split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert any((fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 2 for i, j in links)
+    kept = simhash.similar_dedup(spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, extra int"))
+    assert {r["doc_id"] for r in kept.collect()} == set(classes(len(sets), links))
+
+
 @pytest.mark.parametrize("dense", [1, 4, 1000])
 def test_simhash_links_lose_none(spark, dense):
     rng = random.Random(3)
