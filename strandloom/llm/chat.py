@@ -2,7 +2,8 @@
 
 Logs often hold a conversation many times, each time a few turns longer. Every turn gets the hash of
 the conversation up to it: a rolling polynomial over turn digests modulo 2^127 - 1, so the state of a run
-of turns is two numbers and states of neighbouring runs combine. Turns are sorted by range, each
+of turns is two numbers and states of neighbouring runs combine. Turns are sorted by range of the whole
+sort key, so their order does not depend on the partitions; each
 partition rolls over its own turns, the driver combines one state per partition, and a second pass
 adds what came before: no conversation has to fit a task. A conversation is dropped if its last hash,
 at its number of turns, is an inner hash of a longer one (anti-join of distinct hashes), or if an equal
@@ -54,7 +55,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, place, role, text, prefix): place counts a conversation's turns from 1."""
     shared_dir(turns.sparkSession)
     order = ["conv_id", "turn", "role", "text"]
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").repartitionByRange(*order[:2], F.xxhash64("role", "text")).sortWithinPartitions(*order).checkpoint()
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, whole, state = None, True, None

@@ -320,6 +320,17 @@ def test_chat(spark):
     assert chat.render(df.where("false")).count() == 0
 
 
+def test_chat_order_over_partitions(spark, request):
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(None, t, r, f"text {i:03d}") for t in (None, 1) for r in ("assistant", "user") for i in range(300)]
+    random.Random(13).shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = [r[0] for r in chat.prefix_hashes(df).orderBy("place").select(F.struct("place", "role", "text")).collect()]
+    want = [(r, x) for _, _, r, x in sorted(rows, key=lambda r: (r[1] or 0, r[2], r[3]))]
+    assert [(r["role"], r["text"]) for r in got] == want and [r["place"] for r in got] == list(range(1, 1201))
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((200, 20))
