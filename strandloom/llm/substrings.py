@@ -8,9 +8,10 @@ similarity 0.8 collides with probability 0.97, one of 0.9 with 0.999); all lines
 linked by exact Jaccard similarity over five-word shingles, 0.8 or more (``similar_links``). The second kind has one band of all its shingles: equal paragraphs only, however many.
 
 The classes of verified links are components; in each the occurrence in the smallest doc_id stays and
-those in other documents go. What is removed is whole words from the first to the last of a paragraph;
-removed paragraphs less than ``WINNOW`` words apart that lie alike in the same kept document are
-removed with what is between them. Repeats inside the keeping document stay.
+those in other documents go. What is removed is whole words: a line, or a content-defined paragraph and
+the words around it as far as they agree with those around the kept occurrence. ``REACH`` words are
+compared at either end, as a longer agreement has another paragraph there. Words between two paragraphs
+go only where they agree. Repeats inside the keeping document stay.
 
 Cases: null and short texts have no paragraphs and stay; rows without doc_id neither keep nor lose
 anything; rows that share a doc_id count as one document, and a span is only cut where the text's words
@@ -36,6 +37,7 @@ WORDS = 24
 WINNOW = 24
 MIN_LINE = 40
 BANDS, ROWS = 5, 3
+REACH = WINNOW + SHINGLE
 SIMILARITY = 0.8
 _PART = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -199,35 +201,47 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return found.select("doc_id", "kind", "first", "size", "id", "component_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.first").alias("kept_first"), (F.col("doc_id") != F.col("kept.doc_id")).alias("removed"))
 
 
-def merge_spans(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """(first, end, kept document, kept first) -> (first, end), parted: see the module for what is joined."""
-    out: list[list[int]] = []
-    last: dict[tuple[int, int], int] = {}
-    for first, end, kept, kept_first in sorted(spans):
-        same = (kept, kept_first - first)
-        if same in last and 0 < first - last[same] < WINNOW:
-            first = last[same]
-        last[same] = end
-        while out and first <= out[-1][1]:
-            a, b = out.pop()
-            first, end = min(first, a), max(end, b)
-        out.append([first, end])
-    return [(a, b) for a, b in out]
-
-
-def cut_text(text: str, spans: list[tuple[int, int, int, int, int, int]]) -> str:
-    """The text without the spans (kind, id, first, size, kept document, kept first) whose words still have their hash."""
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, end), parted."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            first, last = out.pop()
+            end = max(end, last)
+        out.append((first, end))
+    return out
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words agree from the start."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    return int(apart[0]) if len(apart) else n
+
+
+def _words32(hashes: np.ndarray) -> np.ndarray:
+    return hashes.astype(np.uint32).view(np.int32)
+
+
+def _has(hashes: np.ndarray, shingles: np.ndarray, kind: int, own: int, first: int, size: int) -> bool:
+    """Whether the words from first on have a paragraph's hash."""
+    if first + size > len(hashes):
+        return False
+    found = line_ids(shingles, np.array([[first, first + size - SHINGLE + 1]])) if kind else paragraph_ids(shingles, np.array([first]))
+    return int(found.view(np.int64)[0]) == own
+
+
+def cut_text(text: str, spans: list[tuple[int, int, int, int, list[int] | None, list[int] | None]]) -> str:
+    """The text without the spans (kind, id, first, size, kept words before, kept words after) whose words still have their hash, each as far as the words around agree with the kept ones."""
     raw = text.encode("utf-8", "surrogatepass")
     hashes, starts, ends = words_of(raw)
-    sh = shingles_of(hashes)
+    sh, low = shingles_of(hashes), _words32(hashes)
     good = []
-    for kind, own, first, size, kept, kept_first in spans:
-        if first + size > len(hashes):
-            continue
-        found = line_ids(sh, np.array([[first, first + size - SHINGLE + 1]])) if kind else paragraph_ids(sh, np.array([first]))
-        is_ = int(found.view(np.int64)[0])
-        if is_ == own:
-            good.append((first, first + size, kept, kept_first))
+    for kind, own, first, size, before, after in spans:
+        if _has(hashes, sh, kind, own, first, size):
+            end = first + size
+            left = _agree(low[max(first - REACH, 0) : first][::-1], np.array(before or [], np.int32)[::-1])
+            good.append((first - left, end + _agree(low[end : end + REACH], np.array(after or [], np.int32))))
     parts, at = [], 0
     for a, b in merge_spans(good):
         parts.append(raw[at : starts[a]])
@@ -236,9 +250,39 @@ def cut_text(text: str, spans: list[tuple[int, int, int, int, int, int]]) -> str
     return b"".join(parts).decode("utf-8", "surrogatepass")
 
 
+def kept_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(kept_doc_id, kept_first, id, before, after): REACH words (32 bits of their hashes) around each kept occurrence of a content-defined paragraph."""
+    places = spans.where("kind = 0").select("kept_doc_id", "kept_first", "id").distinct()
+    places = places.groupBy("kept_doc_id").agg(F.collect_list(F.struct("kept_first", "id")).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("kept_doc_id"), "text").join(places, "kept_doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))):
+            of, at, ids, before, after = [], [], [], [], []
+            for doc, text, own in zip(b.column("kept_doc_id").to_pylist(), b.column("text").to_pylist(), b.column("places").to_pylist()):
+                hashes, _, _ = words_of((text or "").encode("utf-8", "surrogatepass"))
+                sh, low = shingles_of(hashes), _words32(hashes)
+                for first, ident in (tuple(x.values()) for x in own):
+                    if _has(hashes, sh, 0, ident, first, WORDS):
+                        of.append(doc)
+                        at.append(first)
+                        ids.append(ident)
+                        before.append(low[max(first - REACH, 0) : first])
+                        after.append(low[first + WORDS : first + WORDS + REACH])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(at, pa.int32()), pa.array(ids, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32()))], ["kept_doc_id", "kept_first", "id", "before", "after"])
+
+    found = texts.select("kept_doc_id", "text", "places").mapInArrow(run, "kept_doc_id long, kept_first int, id long, before array<int>, after array<int>")
+    # rows that share a doc_id may hold the same place
+    return found.groupBy("kept_doc_id", "kept_first", "id").agg(F.min(F.struct("before", "after")).alias("w")).select("kept_doc_id", "kept_first", "id", "w.before", "w.after")
+
+
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated paragraphs cut from ``text`` (and ``n_chars``, if there is one, counted anew). Every row stays unless nothing but white space is left of it."""
-    spans = repeats(docs, similarity).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "id", "first", "size", "kept_doc_id", "kept_first")).alias("__spans"))
+    lost, _ = write_table(repeats(docs, similarity).where("removed").select("doc_id", "kind", "id", "first", "size", "kept_doc_id", "kept_first"), "lost")
+    around = lost.where("kind = 0").join(kept_words(docs, lost), ["kept_doc_id", "kept_first", "id"], "left").select("doc_id", "kind", "id", "first", "size", "before", "after")
+    nothing = F.lit(None).cast("array<int>")
+    spans = around.union(lost.where("kind = 1").select("doc_id", "kind", "id", "first", "size", nothing, nothing))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "id", "first", "size", "before", "after")).alias("__spans"))
     spans, _ = write_table(spans, "spans")
     joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans")
     text_at, schema = docs.columns.index("text"), T.StructType(list(docs.schema.fields))

@@ -293,6 +293,19 @@ def test_substrings(spark, empty):
     assert substrings.remove_repeats(empty).count() == 0 and substrings.repeats(empty).count() == 0
 
 
+def test_passages_go_to_their_ends(spark):
+    rng = random.Random(14)
+    texts, want = [], []
+    for n in (51, 60, 80, 200):
+        passage = [f"p{n}x{i}" for i in range(n)]
+        other = passage[:100] + ["differs"] + passage[101:] if n == 200 else passage
+        a, b, c, d = ([f"{rng.getrandbits(40):x}" for _ in range(70)] for _ in range(4))
+        texts += [" ".join(a + passage + b), " ".join(c + other + d)]
+        want += [texts[-2], " ".join([*c, *(["differs"] if n == 200 else []), *d])]
+    out = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [" ".join(out[i].split()) for i in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("dense", [2, 8, 1000])
 def test_line_links_lose_none(spark, monkeypatch, dense):
     monkeypatch.setattr(similar.similar_links, "__defaults__", (dense, 2))
