@@ -1,6 +1,7 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-Paragraphs are of two kinds. Lines of ``MIN_LINE`` words or more are natural ones. As passages also
+Paragraphs are of two kinds. Lines, and blocks of lines between blank ones, of ``MIN_LINE`` words or
+more (those with a shingle) are natural ones. As passages also
 stand inside lines, content-defined paragraphs of ``WORDS`` words begin wherever a five-word shingle has
 the smallest hash of ``WINNOW`` shingles in a row: a passage of 50 words or more, wherever it stands,
 has one of them whole. The first kind is banded (``BANDS`` bands of ``ROWS`` MinHash values: a pair of
@@ -35,7 +36,7 @@ from strandloom.llm.similar import similar_links
 SHINGLE = 5
 WORDS = 24
 WINNOW = 24
-MIN_LINE = 40
+MIN_LINE = SHINGLE
 BANDS, ROWS = 5, 3
 REACH = WINNOW + SHINGLE
 SIMILARITY = 0.8
@@ -125,10 +126,14 @@ def line_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def lines_of(raw: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
-    """(first word, end) of lines of at least MIN_LINE words."""
-    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
-    cuts = np.unique(np.concatenate(([0], np.searchsorted(starts, breaks), [len(starts)])))
-    return [(int(a), int(b)) for a, b in zip(cuts, cuts[1:]) if b - a >= MIN_LINE]
+    """(first word, end) of lines, and of blocks of several lines between blank ones, of at least MIN_LINE words."""
+    breaks = np.searchsorted(starts, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10))
+    ends, times = np.unique(breaks, return_counts=True)
+    found: set[tuple[int, int]] = set()
+    for inner in (ends, ends[times > 1]):
+        cuts = np.unique(np.concatenate(([0], inner, [len(starts)]))).tolist()
+        found.update((a, b) for a, b in zip(cuts, cuts[1:]) if b - a >= MIN_LINE)
+    return sorted(found)
 
 
 def band_keys(shingles: np.ndarray, bounds: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -142,7 +147,7 @@ _SCHEMA = "kind tinyint, id long, doc_id long, first int, size int, keys array<l
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """One row per paragraph: kind 0, content-defined, or 1, a line, with its band keys and distinct shingles (32 bits of each)."""
+    """One row per paragraph: kind 0, content-defined, or 1, a line or block, with its band keys and distinct shingles (32 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024))):

@@ -306,6 +306,19 @@ def test_passages_go_to_their_ends(spark):
     assert [" ".join(out[i].split()) for i in range(len(texts))] == want
 
 
+def test_short_and_wrapped_paragraphs(spark):
+    rng = random.Random(15)
+    short, near, five = [f"s{i}" for i in range(16)], [f"n{i}" for i in range(36)], "one two three four five"
+    wrapped = [f"w{i}" for i in range(60)]
+    wrap = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    changed = [*wrapped[:30], "changed", *wrapped[31:]]
+    own = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(50)) for _ in range(8)]
+    pairs = [(" ".join(short), " ".join(short)), (" ".join(near), " ".join([*near[:-2], "other", near[-1]])), (five, five), (wrap(wrapped, 9), wrap(changed, 7))]
+    texts = [f"{own[2 * k + j]}\n\n{p[j]}\n\nend {k} {j}" for k, p in enumerate(pairs) for j in (0, 1)]
+    out = {r["doc_id"]: r["text"].split() for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(8)] == [texts[i].split() if i % 2 == 0 else [*own[i].split(), "end", str(i // 2), "1"] for i in range(8)]
+
+
 @pytest.mark.parametrize("dense", [2, 8, 1000])
 def test_line_links_lose_none(spark, monkeypatch, dense):
     monkeypatch.setattr(similar.similar_links, "__defaults__", (dense, 2))
