@@ -1 +1 @@
-"""DNA-metabarcoding analytics on Spark DataFrames."""
+"""Amplicon sequencing analytics on Spark DataFrames."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from strandloom.operators.reads import MAX_SHEET, Marker
 
@@ -70,13 +70,22 @@ def parse_sheet(text: str) -> list[Marker]:
     return markers
 
 
+def _bounded(rows: DataFrame, most: int) -> list[Row]:
+    """All rows; more than ``most`` are an error, as configuration is held on the driver."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"configuration of more than {most} rows")
+    return found
+
+
 def read_sheet(spark: SparkSession, path: str) -> list[Marker]:
-    return parse_sheet("\n".join(r["value"] for r in spark.read.text(path).limit(MAX_SHEET + 100).collect()))
+    """A sheet of at most MAX_SHEET rows; comments and parameters may be as many again."""
+    return parse_sheet("\n".join(r["value"] for r in _bounded(spark.read.text(path), 2 * MAX_SHEET)))
 
 
 def read_split_config(spark: SparkSession, path: str) -> dict[str, str]:
     """Columns tag[, pcr_pool]: name -> pattern."""
-    rows = spark.read.options(header="true").csv(path).limit(MAX_SHEET).collect()
+    rows = _bounded(spark.read.options(header="true").csv(path), MAX_SHEET)
     return {(r["pcr_pool"] if "pcr_pool" in r.__fields__ and r["pcr_pool"] else r["tag"]): r["tag"] for r in rows}
 
 

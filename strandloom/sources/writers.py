@@ -47,8 +47,10 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def scalar_keys(df: DataFrame, limit: int = 10_000) -> list[str]:
-    """Keys of scalar annotations over all records, sorted."""
-    rows = df.select(F.explode("annotations").alias("k", "v")).where(~F.substr("v", F.lit(1), F.lit(1)).isin("{", "[")).select("k").distinct().limit(limit).collect()
+    """Keys of scalar annotations over all records, sorted; more than ``limit`` are an error, as each becomes a column."""
+    rows = df.select(F.explode("annotations").alias("k", "v")).where(~F.substr("v", F.lit(1), F.lit(1)).isin("{", "[")).select("k").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"records have more than {limit} keys: name those to write")
     return sorted(r["k"] for r in rows)
 
 
@@ -82,7 +84,9 @@ def gml(nodes: DataFrame, edges: DataFrame, sample: str, max_nodes: int = 100_00
     if len(n) > max_nodes:
         raise ValueError(f"a graph of more than {max_nodes} nodes")
     at = {r["id"]: i for i, r in enumerate(n)}
-    e = edges.where(F.col("sample") == sample).select("son", "father", "dist").orderBy("son", "father").limit(10 * max_nodes).collect()
+    e = edges.where(F.col("sample") == sample).select("son", "father", "dist").orderBy("son", "father").limit(10 * max_nodes + 1).collect()
+    if len(e) > 10 * max_nodes:
+        raise ValueError(f"a graph of more than {10 * max_nodes} edges")
     body = "".join(f'node [ id {i} label "{r["id"]}" weight {r["n"]} ]\n' for i, r in enumerate(n))
     body += "".join(f"edge [ source {at[r['son']]} target {at[r['father']]} dist {r['dist']} ]\n" for r in e)
     return f"graph [\ndirected 1\n{body}]\n"
