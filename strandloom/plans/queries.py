@@ -78,7 +78,7 @@ def _(spark, d):
     return filters.keep(records(spark, d), filters.sequence_matches("ACA[CT]T+G")).select("id")
 
 
-@query("filter_expression", f"SELECT id FROM {REC} WHERE length(s) > 300 AND lang = 'fr' OR (length(s) - length(replace(replace(s, 'g', ''), 'c', ''))) / length(s) > 0.32")
+@query("filter_expression", f"SELECT id FROM {REC} WHERE length(s) > 300 AND lang = 'fr' OR length(s) > 0 AND (length(s) - length(replace(replace(s, 'g', ''), 'c', ''))) / length(s) > 0.32")
 def _(spark, d):
     return filters.keep(records(spark, d), filters.expression('len(sequence) > 300 && annotations.lang == "fr" || gc(sequence) > 0.32')).select("id")
 
