@@ -7,6 +7,8 @@ that every ancestor test is an array expression in generated code, without recur
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +70,8 @@ def outside_clades(*taxids: str) -> Column:
 
 def has_rank(*ranks: str) -> Column:
     """All of the ranks are on the path."""
-    out = F.lit(True)
-    for r in ranks:
-        out = out & F.coalesce(F.exists("path", lambda x, r=r: x["rank"] == r), F.lit(False))
-    return out
+    found = F.transform("path", lambda x: x["rank"])
+    return reduce(lambda a, b: a & b, [F.coalesce(F.array_contains(found, r), F.lit(False)) for r in ranks], F.lit(True))
 
 
 def at_rank(rank: str, path: str = "path") -> Column:
