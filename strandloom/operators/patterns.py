@@ -5,6 +5,7 @@ The kernels read Arrow batches; what they produce stays next to its record, so n
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -70,18 +71,19 @@ def flat_map(df: DataFrame, kernel: Callable[[str], list[dict]], made: str) -> D
 
 
 def amplicons(s: str, forward: Pattern, reverse: Pattern, min_length: int = 0, max_length: int | None = None, circular: bool = False, flank: int | None = None, full_flanks: bool = False) -> list[dict]:
-    """What two primers amplify in a sequence, on both strands. Touching primers amplify nothing."""
+    """What two primers amplify in a sequence, on both strands. Touching primers amplify nothing. ``anchor`` is where the first primer begins; of the second one only hits within the allowed lengths are looked at."""
     found, n = [], len(s)
     text = s + s if circular else s
     for direction, first, second in (("forward", forward, reverse.reverse_complement()), ("reverse", reverse, forward.reverse_complement())):
         starts = [h for h in find_all(first, text) if h[0] < n]
         if not starts:
             continue
-        ends = find_all(second, text)
+        ends = sorted(find_all(second, text))
+        at = [b[0] for b in ends]
         for a in starts:
-            for b in ends:
-                size = b[0] - a[1]
-                if size <= 0 or size < min_length or max_length is not None and size > max_length or b[1] - a[0] > n:
+            longest = n if max_length is None else max_length
+            for b in ends[bisect_left(at, a[1] + max(min_length, 1)) : bisect_right(at, a[1] + longest)]:
+                if b[1] - a[0] > n:
                     continue
                 left, right = (a[1], b[0]) if flank is None else (a[0] - flank, b[1] + flank)
                 if full_flanks and (left < 0 or right > len(text)):
@@ -92,7 +94,7 @@ def amplicons(s: str, forward: Pattern, reverse: Pattern, min_length: int = 0, m
                     f, r, hit_f, hit_r = at_first, _rc(at_second), a, b
                 else:
                     piece, f, r, hit_f, hit_r = _rc(piece), _rc(at_second), at_first, b, a
-                found.append({"amplicon": piece, "direction": direction, "forward_match": f, "reverse_match": r, "forward_error": hit_f[2], "reverse_error": hit_r[2], "start": left, "end": right})
+                found.append({"amplicon": piece, "direction": direction, "forward_match": f, "reverse_match": r, "forward_error": hit_f[2], "reverse_error": hit_r[2], "start": left, "end": right, "anchor": a[0]})
     return found
 
 
@@ -103,21 +105,22 @@ def pcr(df: DataFrame, forward: str, reverse: str, errors: int = 0, min_length:
     amplicon with its primers, and spread over tasks, so that one chromosome is not one task's work.
     """
     f, r = compile_pattern(forward, errors), compile_pattern(reverse, errors)
-    work = df.withColumn("__offset", F.lit(0))
+    work, own = df.withColumn("__offset", F.lit(0)), F.lit(True)
     if fragment is not None:
         if circular or max_length is None:
             raise ValueError("fragments need a maximal length and linear templates")
         overlap = max_length + len(f) + len(r) + 2 * (flank or 0)
         step = max(fragment, 2 * overlap)
         windows = F.sequence(F.lit(0), F.greatest(F.length("sequence") - overlap - 1, F.lit(0)), F.lit(step))
-        work = df.select(*df.columns, F.explode(windows).alias("__offset")).withColumn("sequence", F.substr("sequence", F.col("__offset") + 1, F.lit(step + overlap)))
+        work = df.select(*df.columns, F.explode(windows).alias("__offset"), F.length("sequence").alias("__length")).withColumn("sequence", F.substr("sequence", F.col("__offset") + 1, F.lit(step + overlap)))
         work = work.repartition("id", "__offset")
-    made = "amplicon string, direction string, forward_match string, reverse_match string, forward_error int, reverse_error int, start int, end int"
-    out = flat_map(work, lambda s: amplicons(s, f, r, min_length, max_length, circular, flank, full_flanks), made)
+        # what stands in the overlap of two windows belongs to the one in which it has its flanks and begins first
+        low, last = flank or 0, F.col("__offset") + step > F.col("__length") - overlap - 1
+        own = ((F.col("__offset") == 0) | (F.col("anchor") >= low)) & ((F.col("anchor") < step + low) | last)
+    made = "amplicon string, direction string, forward_match string, reverse_match string, forward_error int, reverse_error int, start int, end int, anchor int"
+    out = flat_map(work, lambda s: amplicons(s, f, r, min_length, max_length, circular, flank, full_flanks), made).where(own)
     first, last = F.col("__offset") + F.col("start"), F.col("__offset") + F.col("end")
     out = out.withColumns({"__first": first, "__last": last})
-    if fragment is not None:  # an amplicon in the overlap of two windows comes once
-        out = out.dropDuplicates(["id", "input_order", "__first", "__last", "direction"])
     out = out.withColumns({"id": F.format_string("%s_sub[%d..%d]", "id", F.col("__first") + 1, F.col("__last")), "sequence": F.col("amplicon"), "qualities": F.lit(None).cast("array<tinyint>")})
     keys = {"forward_primer": F.lit(forward), "reverse_primer": F.lit(reverse), **{c: F.col(c) for c in ("direction", "forward_match", "reverse_match", "forward_error", "reverse_error")}}
     return set_attributes(out, keys).select(*df.columns)

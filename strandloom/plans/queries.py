@@ -6,6 +6,7 @@ Documents become records: the letters a, c, g and t of the whole lower-case text
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +99,14 @@ def _(spark, d):
     return filters.keep(records(spark, d), filters.pattern_matches("acrtncyt")).select("id")
 
 
-@query("filter_approximate")
+def _hits(pattern: str, errors: int, s: str = "s") -> str:
+    """DuckDB: the 1-based places of ``s`` where the pattern, whose n match anything, has at most so many mismatches."""
+    parts = [(m.start(), m[0]) for m in re.finditer("[acgt]+", pattern)]
+    window = " || ".join(f"substring({s}, i + {a}, {len(t)})" for a, t in parts)
+    return f"list_filter(range(1, length({s}) - {len(pattern) - 2}), lambda i: hamming({window}, '{''.join(t for _, t in parts)}') <= {errors})"
+
+
+@query("filter_approximate", f"SELECT id FROM {REC} WHERE length(s) >= 10 AND len({_hits('acgtacgtgg', 2)}) + len({_hits('ccacgtacgt', 2)}) > 0")
 def _(spark, d):
     return filters.keep(records(spark, d), filters.pattern_matches("acgtacgtgg", errors=2)).select("id")
 
@@ -141,10 +149,10 @@ def _(spark, d):
     return annotate.fragment(records(spark, d), 400, 200, 50).select("id", "sequence")
 
 
-@query("set_keys", f"SELECT id, upper(lang) AS up, CAST(length(s) AS DOUBLE) / 2 AS half FROM {REC} WHERE lang IS NOT NULL".replace("upper(lang)", "lang || '_' || source"))
+@query("set_keys", f"SELECT id, upper(lang) AS up, CAST(length(s) AS DOUBLE) / 2 AS half FROM {REC}".replace("upper(lang)", "lang || '_' || source"))
 def _(spark, d):
     out = annotate.set_keys(records(spark, d), {"up": 'annotations.lang + "_" + annotations.sample', "half": "len(sequence) / 2"})
-    return out.where(attribute("lang").isNotNull()).select("id", attribute("up").alias("up"), attribute("half", "double").alias("half"))
+    return out.select("id", attribute("up").alias("up"), attribute("half", "double").alias("half"))
 
 
 @query("rename_delete_keys", f"SELECT id, lang AS language, CAST(NULL AS VARCHAR) AS sample FROM {REC}")
@@ -222,10 +230,13 @@ def _(spark, d):
     return aggregate.matrix_long(aggregate.dereplicate(records(spark, d), merge=["sample"], keep_attributes=[]))
 
 
-@query("matrix", f"SELECT lang AS id, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM {REC} WHERE source IN ('src0', 'src1', 'src2') AND lang IS NOT NULL GROUP BY lang")
+#: The sources of the driver's documents.
+SOURCES = [f"src{i}" for i in range(20)]
+
+
+@query("matrix", f"SELECT coalesce(lang, 'NA') AS id, {', '.join(f"count(*) FILTER (source = '{x}') AS {x}" for x in SOURCES)} FROM {REC} GROUP BY 1")
 def _(spark, d):
-    some = records(spark, d).where(attribute("sample").isin("src0", "src1", "src2") & attribute("lang").isNotNull())
-    by_lang = aggregate.dereplicate(some.withColumn("sequence", attribute("lang")), merge=["sample"], keep_attributes=[]).withColumn("id", F.col("sequence"))
+    by_lang = aggregate.dereplicate(records(spark, d).withColumn("sequence", aggregate.class_attribute("lang")), merge=["sample"], keep_attributes=[]).withColumn("id", F.col("sequence"))
     return aggregate.matrix(by_lang, transpose=False)
 
 
@@ -234,12 +245,24 @@ def _(spark, d):
     return records(spark, d).groupBy(aggregate.class_rotate(7).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("class_pair", f"SELECT lang || '_' || source AS class, count(*) AS n FROM {REC} WHERE lang IS NOT NULL GROUP BY 1")
+@query("class_pair", f"SELECT coalesce(lang, 'NA') || '_' || coalesce(source, 'NA') AS class, count(*) AS n FROM {REC} GROUP BY 1")
 def _(spark, d):
-    return records(spark, d).where(attribute("lang").isNotNull()).groupBy(aggregate.class_pair("lang", "sample").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return records(spark, d).groupBy(aggregate.class_pair("lang", "sample").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _crc32_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
 
+CRC32 = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: xor(h >> 8, {_crc32_table()}[(xor(h, c) & 255) + 1])), 4294967295)"
 
-@query("class_hash")
+
+@query("class_hash", f"SELECT CAST(CASE WHEN s = '' THEN 0 ELSE {CRC32} END % 100 AS BIGINT) AS class, count(*) AS n FROM {REC} GROUP BY 1")
 def _(spark, d):
     return records(spark, d).groupBy(aggregate.class_hash(100).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -293,9 +316,9 @@ def _(spark, d):
     return paths(spark, d).where("rank = 'species'").select("taxid", taxonomy.at_rank("family")["name"].alias("family"))
 
 
-@query("taxonomy_names", f"SELECT taxid FROM {TAXA} WHERE regexp_matches(scientific_name, '(?i)an')")
+@query("taxonomy_names", f"SELECT taxid FROM {TAXA} WHERE regexp_matches(scientific_name, '(?i)ica$|^nation_1')")
 def _(spark, d):
-    return taxonomy.named(taxa(spark, d), "an").select("taxid")
+    return taxonomy.named(taxa(spark, d), "ica$|^nation_1").select("taxid")
 
 
 @query("taxonomy_parents", "SELECT CAST(0 AS BIGINT) AS depth, 'n3' AS taxid UNION ALL SELECT 1, 'r' || n_regionkey FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 2, '1'")
@@ -407,7 +430,15 @@ def _(spark, d):
     return out.select("id", F.size("positions").cast("bigint").alias("n"), F.array_min("positions").cast("bigint").alias("first"), F.array_max("positions").cast("bigint").alias("last"))
 
 
-@query("superkmers")
+@query(
+    "superkmers",
+    f"""WITH r AS (SELECT id, s, list_transform(range(1, length(s) - 7), lambda i: least(substring(s, i, 9), {RC.format('substring(s, i, 9)')})) AS words FROM {REC} WHERE length(s) >= 21),
+    p AS (SELECT id, s, i, list_min(list_slice(words, i, i + 12)) AS z FROM (SELECT *, unnest(range(1, length(s) - 19)) AS i FROM r)),
+    runs AS (SELECT *, sum(CASE WHEN z = before THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT *, lag(z) OVER (PARTITION BY id ORDER BY i) AS before FROM p)),
+    g AS (SELECT id AS parent_id, any_value(s) AS s, any_value(z) AS z, min(i) - 1 AS a, max(i) + 20 AS b FROM runs GROUP BY id, run)
+    SELECT parent_id, parent_id || '_superkmer_' || a || '_' || b AS id, substring(s, a + 1, b - a) AS sequence, CAST(list_sum(list_transform(range(1, 10), lambda i: (instr('acgt', substring(z, i, 1)) - 1) * CAST(4 ** (9 - i) AS BIGINT))) AS BIGINT) AS minimizer_value, z AS minimizer_seq,
+    21 AS k, 9 AS m, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end" FROM g""",
+)
 def _(spark, d):
     return kmers.superkmers(records(spark, d), 21, 9)
 
@@ -430,19 +461,29 @@ def _(spark, d):
     return denoise.status(nodes, edges).join(denoise.flow_weights(nodes, edges), ["sample", "id"]).select("sample", "id", "status", "weight")
 
 
-@query("nearest_landmark", "SELECT a.vec_id AS vec_id, b.vec_id AS reference, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)), 6) AS distance FROM embeddings a, (SELECT * FROM embeddings WHERE label = 0 AND vec_id < 200) b QUALIFY rank() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))) = 1")
+@query("nearest_landmark", "SELECT a.vec_id AS vec_id, b.vec_id AS reference, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)), 6) AS distance FROM embeddings a, (SELECT * FROM embeddings WHERE label = 0) b QUALIFY rank() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))) = 1")
 def _(spark, d):
     vectors = table(spark, d, "embeddings")
-    marks = vectors.where("label = 0 and vec_id < 200")  # the landmarks are a stated set of references
+    marks = vectors.where("label = 0")  # all vectors of one label are the references
     return nearest_in_space(vectors, marks, "embedding", "vec_id", cells=16).select("vec_id", "reference", F.round("distance", 6).alias("distance"))
 
 
-@query("pcr")
+def _amplicons(first: str, second: str) -> str:
+    """DuckDB: what stands between a hit of the first pattern and one of the second behind it."""
+    return f"SELECT id, i + 8 AS a, j - 1 AS b FROM (SELECT id, unnest({_hits(first, 1)}) AS i FROM {REC} WHERE length(s) >= 8) JOIN (SELECT id, unnest({_hits(second, 1)}) AS j FROM {REC} WHERE length(s) >= 8) USING (id) WHERE j - i - 8 BETWEEN 20 AND 300"
+
+
+@query("pcr", f"SELECT id || '_sub[' || a || '..' || b || ']' AS id, CAST(b - a + 1 AS INTEGER) AS n FROM ({_amplicons('acatnaca', 'atnntcaa')} UNION ALL {_amplicons('ttgannat', 'tgtnatgt')})")
 def _(spark, d):
     return patterns.pcr(records(spark, d), "acatnaca", "ttgannat", errors=1, min_length=20, max_length=300, fragment=2000).select("id", F.length("sequence").alias("n"))
 
 
-@query("microsatellites")
+@query(
+    "microsatellites",
+    f"""WITH u AS (SELECT id, s, i, u, substring(s, i, u) AS unit FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i FROM {REC}), (SELECT unnest(range(1, 5)) AS u)
+      WHERE i + 3 * u - 1 <= length(s) AND substring(s, i, 3 * u) = repeat(substring(s, i, u), 3) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i, u) = 1)
+    SELECT id, list_min(list_transform(range(0, u), lambda k: least(substring(unit, k + 1) || substring(unit, 1, k), substring({RC.format('unit')}, k + 1) || substring({RC.format('unit')}, 1, k)))) AS unit FROM u""",
+)
 def _(spark, d):
     return patterns.microsatellites(records(spark, d), max_unit=4, min_count=3).select("id", attribute("microsat_unit_normalized").alias("unit"))
 
