@@ -368,8 +368,9 @@ def test_embeddings(spark, monkeypatch):
     labels = np.array([r[2] for r in rows])
     linked = (v @ v.T >= 0.98) & (labels[:, None] == labels[None, :])
     want = classes(len(x), [(i, j) for i, j in zip(*np.nonzero(linked)) if i < j])
-    for cell in (1000, 10):
+    for cell, crowd in ((1000, 4096), (10, 4096), (1000, 16)):
         monkeypatch.setattr(embeddings, "CELL", cell)
+        monkeypatch.setattr(embeddings, "CROWD", crowd)
         got = {r["vec_id"]: r for r in embeddings.near_classes(df).collect()}
         assert [got[i]["n_links"] for i in range(len(x))] == (linked.sum(axis=1) - 1).tolist()
         assert [got[i]["component_id"] for i in range(len(x))] == want
@@ -390,3 +391,122 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r["doc_id"] for r in out.collect()}
     assert 200 not in ids and 1 in ids and not ids & {i for i in range(0, 120, 9)}
+
+
+def test_bpe_over_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 700)
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "no id"), (None, None), (7, "again  &&& don't\x1c<|endoftext|>")], "doc_id long, text string")).repartition(3)
+    tok, want = library(WORD_BPE, rows)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    got = sorted(map(tuple, bpe.round_trip(rows, WORD_BPE).collect()), key=key)
+    assert got == sorted(((d, len(i), sha(" ".join(map(str, i))), sha(tok.decode(i, skip_special_tokens=False))) for d, i in want), key=key)
+    pieces = {r["id"]: r["piece"] for r in bpe.vocabulary(spark, WORD_BPE).collect()}
+    assert len(pieces) == tok.get_vocab_size() and all(pieces[i] == tok.id_to_token(i) for i in (0, 300, 49407))
+
+
+def test_words_equal_the_library():
+    enc = bpe.WordEncoder(WORD_BPE)
+    rng = random.Random(16)
+    parts = [*"abÀéßÿ.,'&!<|>0AZ", "'s", "<|endoftext|>", "İ", "ﬁ", "漢", "é", "Σ", "&&&"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 9))) for _ in range(5000)]
+    flat, lengths = enc.encode(words)
+    want = [e.ids for e in enc.tok.encode_batch(words, add_special_tokens=False)]
+    assert enc.by_part and lengths.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+
+
+def test_gif_of_others(spark):
+    block = lambda s: b"".join(bytes([len(s[i : i + 255])]) + s[i : i + 255] for i in range(0, len(s), 255)) + b"\0"
+    image = lambda x, y, w, h, px, dispose, clear=None: b"\x21\xf9\x04" + bytes([dispose << 2 | (clear is not None), 7, 0, clear or 0, 0]) + b"\x2c" + bytes([x, 0, y, 0, w, 0, h, 0, 0]) + b"\x02" + block(lzw(px, 2))
+    palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 90, 90, 90])
+    foreign = b"GIF89a\x02\0\x02\0\x81\0\0" + palette + image(0, 0, 2, 2, [0, 0, 1, 1], 1) + image(0, 0, 1, 2, [2, 3], 2, 3) + image(1, 0, 1, 1, [3], 3) + image(0, 1, 2, 1, [2, 1], 0) + b"\x3b"
+    grey = gif.encode_gif(gif.pad_payload(b"abc" * 700))
+    red = grey[:13] + bytes([255, 0, 0]) * 256 + grey[13 + 768 :]
+    media = spark.createDataFrame([(1, 0, foreign), (2, 2100, grey), (3, 2100, red), (4, 0, b"GIF89a"), (5, 0, None)], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in gif.media_features(media).collect()}
+    assert got[4]["feature"] is None and got[5]["feature"] is None and got[4]["timed"] is None
+    for k, m in ((1, foreign), (2, grey), (3, red)):
+        frames = list(gif.decode_gif(m))
+        slow = [[sum(1 for p in f.canvas.reshape(-1, 4).tolist() if p[3] and (p[0] >> 6) * 16 + (p[1] >> 6) * 4 + (p[2] >> 6) == c) for c in range(64)] for f in frames]
+        assert got[k]["histogram"] == [sum(c) for c in zip(*slow)] and got[k]["frames"] == len(frames)
+        assert [(t["start_cs"], t["delay_cs"], {c["colour"]: c["pixels"] for c in t["colours"]}) for t in got[k]["timed"]] == [(f.start, f.delay, {c: n for c, n in enumerate(s) if n}) for f, s in zip(frames, slow)]
+    assert [t["start_cs"] for t in got[1]["timed"]] == [0, 7, 14, 21] and got[2]["payload_sha256"] == got[3]["payload_sha256"] and got[2]["feature"] != got[3]["feature"]
+    assert got[3]["histogram"][48] == got[3]["payload_bytes"] == 2304
+
+
+def test_gif_codes_are_near_a_plain_coder():
+    rng = np.random.default_rng(3)
+    words = [f"w{i} ".encode() for i in rng.integers(0, 200, 200)]
+    text = b"".join(words[i] for i in rng.integers(0, 200, 40_000))
+    frames = [rng.integers(0, 256, (5, 576)), rng.integers(0, 2, (5, 576)), np.zeros((1, 576)), rng.integers(90, 95, (600, 576)), np.frombuffer(text[: 576 * 200], np.uint8).reshape(-1, 576)]
+    for f in (f.astype(np.uint8) for f in frames):
+        plain = [lzw(x.tolist(), 8) for x in f[:40]]
+        got = [s for i in range(0, len(f), 512) for s in gif._streams(*gif._lzw_codes(f[i : i + 512]))]
+        assert (gif.lzw_decode_all(got, 8, 576) == f).all() and (gif.lzw_decode_all(plain, 8, 576) == f[:40]).all()
+        assert sum(map(len, got[:40])) <= 1.06 * sum(map(len, plain))
+    assert len(gif.encode_gif(b"a" * 40320)) < 10_000
+
+
+def test_exact_filling_and_one_repeated_row(spark):
+    rng = random.Random(17)
+    for lengths in ([700, 300, 24, 500, 500, 24, 1024, 1], [rng.randrange(1, 1025) for _ in range(4000)], [342] * 30, [], [512, 512]):
+        x = np.array(lengths, np.int64)
+        bins, offsets, fill = packing.fill_exactly(x)
+        assert all((fill <= 1024).tolist()) and fill.sum() == x.sum() and len(set(bins.tolist())) == len(fill)
+        for k in range(len(fill)):
+            own = sorted(zip(offsets[bins == k].tolist(), x[bins == k].tolist()))
+            assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+    assert len(packing.fill_exactly(np.array([700, 300, 24, 500, 500, 24]))[2]) == 2
+    got = packing.pack(spark.createDataFrame([(7, 0, 0, 300, 5)] * 500, packing.PIECES)).collect()
+    assert len(got) == 500 and len({r["sequence_id"] for r in got}) == 167
+
+
+def test_filters_keep_columns_of_clashing_names(spark):
+    words = {"aa": ["kala", "maka", "tala"], "bb": ["zyx", "wyz", "xyy"]}
+    rng = random.Random(18)
+    rows = [(i % 50, prose(rng, 12, words["aa" if i % 2 else "bb"]), "aa" if i % 2 else "bb", 7.5, "mine", f"s{i}") for i in range(120)]
+    rows += [(60, "z" * 2_000_000 + " " + "kala " * 1000, "aa", 7.5, "mine", "long"), (61, None, None, None, None, None), (None, "kala maka", "aa", 7.5, "mine", "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, __spans string").withColumns({"p_good": F.lit(0.25), "expected_grade": F.lit("x"), "__grade": F.lit(1), "__Lang": F.lit(2)})
+    told = langid.keep_identified(df, per_class=20, landmarks=4)
+    assert told.columns == df.columns and {(r["score"], r["lang_pred"], r["p_good"]) for r in told.collect()} == {(7.5, "mine", 0.25)}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] * 3, "doc_id long, quality int, toxic int")
+    good = quality.keep_good(df, labels, max_rows=40)
+    assert good.columns == df.columns and {(r["p_good"], r["expected_grade"], r["__grade"]) for r in good.collect()} == {(0.25, "x", 1)}
+    cut = substrings.remove_repeats(df)
+    assert cut.columns == df.columns and {r["__spans"] for r in cut.where("text is not null").collect()} <= {r[5] for r in rows}
+
+
+def test_kernel_equals_a_plain_one():
+    rng = random.Random(19)
+    texts = [prose(rng, 15, [a + b for a in p for b in "aeiou"]) for p in ("klm", "rst", "klrs") for _ in range(12)]
+    langs = [x for x in ("a", "b", "c") for _ in range(12)]
+    codes = [langid.gram_codes(t) for t in texts]
+    model = langid.fit_kernel(codes, langs, landmarks=12)
+    grams = [{(" " + t + " ")[i : i + k] for k in (1, 2, 3) for i in range(len(t) + 3 - k)} for t in texts]
+    plain = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    assert np.allclose(model.kernel(codes), plain, atol=1e-5)
+    # with every text a landmark the Nyström map is the kernel itself, so ridge on it is kernel ridge regression
+    values, vectors = np.linalg.eigh(plain)
+    good = values > 1e-6 * values.max()
+    phi = plain @ vectors[:, good] / np.sqrt(values[good])
+    y = (np.array(langs)[:, None] == np.array(["a", "b", "c"])[None, :]).astype(float)
+    z, t = phi - phi.mean(0), y - y.mean(0)
+    want = z @ np.linalg.solve(z.T @ z + 1e-3 * np.eye(z.shape[1]), z.T @ t) + y.mean(0)
+    got = model.kernel(codes).astype(float) @ model.weights + model.bias
+    assert np.allclose(got, want, atol=0.02)
+
+
+def test_ordinal_gradient_fits_by_likelihood():
+    rng = np.random.default_rng(4)
+    x = [np.unique(rng.integers(0, 400, 30)).astype(np.int32) for _ in range(900)]
+    w = np.zeros(quality.BUCKETS)
+    w[:400] = rng.standard_normal(400)
+    s = np.array([w[f].sum() / quality.scale(len(f)) for f in x])
+    grades = np.digitize(s + 0.1 * rng.logistic(size=len(s)), np.quantile(s, [0.3, 0.6]))
+    model = quality.fit_ordinal(x[:700], grades[:700])
+    tails = model.tails(x[700:])
+    rank = lambda v: np.argsort(np.argsort(v))
+    assert model.thresholds[0] < model.thresholds[1] and (tails[:, 0] >= tails[:, 1]).all()
+    assert np.corrcoef(rank(tails.sum(axis=1)), rank(s[700:]))[0, 1] > 0.7
+    below = lambda m, f, k: 1 / (1 + np.exp(-(m.thresholds[k] - m.weights[f].sum() / quality.scale(len(f)))))
+    assert np.allclose(tails, [[1 - below(model, f, k) for k in (0, 1)] for f in x[700:]])
