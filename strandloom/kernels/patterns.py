@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -29,6 +30,7 @@ class Pattern:
         return Pattern(flipped, tuple(reversed(self.fixed)), self.errors, self.indels)
 
 
+@lru_cache(maxsize=1024)
 def compile_pattern(text: str, errors: int = 0, indels: bool = False) -> Pattern:
     """IUPAC letters, ``[..]`` alternatives, ``!x`` negation, ``x#`` for a position without errors."""
     sets, fixed, i, p = [], [], 0, text.lower()

@@ -1,8 +1,8 @@
 """Taxonomic assignment by similarity, indexing of references, landmarks, checks of reference libraries.
 
-Nearest references are found among candidates that share 4-mers or longer words; the pairs come from an
-equi-join on words and are verified by the exact distance in Arrow batches. What a query has no candidate
-for goes to the root, which is also the answer below half identity.
+Nearest references are found among candidates that share words; the pairs come from an equi-join on words and
+are verified by the exact distance in Arrow batches. Queries for which that is not sure to find the nearest are
+compared with all references, tile by tile. The root is the answer below half identity.
 """
 
 from __future__ import annotations
@@ -38,9 +38,43 @@ def lcs_both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([lcs_distance(x, y) for x, y in zip(a, b)], columns=["matches", "length"], dtype="int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def shared_fourmers(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([int(np.minimum(fourmers(x), fourmers(y)).sum()) for x, y in zip(a, b)], dtype="int32")
+#: Sequences of either side that one task of ``scan_references`` compares.
+TILE = 512
+
+
+def _nearest_in_tile(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    """The nearest references of each query within the tile. References come by rising 4-mer bound (an error spoils at most four), so most are left out unread."""
+    texts, ids = r["rs"].tolist(), r["reference"].tolist()
+    profiles, sizes = np.array([fourmers(t) for t in texts]).reshape(len(texts), 256), np.array([len(t) for t in texts])
+    out = []
+    for query, text, bound in zip(q["query"], q["qs"], q["bound"]):
+        shared = np.minimum(profiles, fourmers(text)).sum(axis=1)
+        least = np.maximum(np.ceil((np.maximum(sizes, len(text)) - 3 - shared) / 4), np.abs(sizes - len(text)))
+        best, found = None if pd.isna(bound) else int(bound), []
+        for k in np.argsort(least, kind="stable").tolist():
+            if best is not None and least[k] > best:
+                break
+            told = lcs_distance(text, texts[k], best)
+            if told is None:
+                continue
+            if best is None or told[1] - told[0] < best:
+                best, found = told[1] - told[0], []
+            found.append((query, ids[k], *told))
+        out += [f for f in found if f[3] - f[2] == best]
+    return pd.DataFrame(out, columns=["query", "reference", "matches", "length"])
+
+
+def scan_references(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """(query, reference, matches, length): for each (query, qs, bound) the nearest of all (reference, rs), none further than the bound, in each tile of the table of both.
+
+    For what has no other way: tiles are of bounded size and dealt out to all tasks, and only a tile's winners leave it.
+    """
+    blocks = [max(1, -(-df.count() // TILE)) for df in (queries, references)]
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("i", at("query", blocks[0])).withColumn("j", every(blocks[1]))
+    r = references.withColumn("j", at("reference", blocks[1])).withColumn("i", every(blocks[0]))
+    return q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInPandas(_nearest_in_tile, "query string, reference string, matches int, length int")
 
 
 def nearest_references(queries: DataFrame, references: DataFrame, word: int = 8, min_shared: int = 1) -> DataFrame:
@@ -48,20 +82,26 @@ def nearest_references(queries: DataFrame, references: DataFrame, word: int = 8,
 
     Distinct query sequences meet references over shared words; the best counts of shared words bound
     the distance (an error spoils at most ``word`` words), so pairs that cannot win are left out unread.
+    Where the bound lets a reference without enough shared words be as near, or no reference shares any, the query
+    is compared with all references (``scan_references``), so none is lost.
     """
-    q = queries.select("sequence").distinct().withColumn("id", F.md5("sequence"))
-    r = references.select("id", "sequence")
+    q = queries.where("sequence is not null").select("sequence").distinct().withColumn("id", F.md5("sequence"))
+    r = references.where("sequence is not null").select("id", "sequence")
+    qs, rs = q.select(F.col("id").alias("query"), F.col("sequence").alias("qs")), r.select(F.col("id").alias("reference"), F.col("sequence").alias("rs"))
     pairs = K.shared_counts(q, r, word, min_shared)
     best = pairs.groupBy("query").agg(F.max("shared").alias("most"))
-    long = pairs.join(best, "query").join(q.select(F.col("id").alias("query"), F.col("sequence").alias("qs")), "query").join(r.select(F.col("id").alias("reference"), F.col("sequence").alias("rs")), "reference")
+    long = pairs.join(best, "query").join(qs, "query").join(rs, "reference")
     # the best candidate's true distance is a bound for all the others
     top = long.where("shared = most").groupBy("query").agg(F.min_by(F.struct("qs", "rs"), F.struct("reference")).alias("t"))
     bound = top.select("query", lcs_gap("t.qs", "t.rs").alias("bound"))
-    distinct_words = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("qs") - word + 1, F.lit(1))), lambda i: F.substr("qs", i, F.lit(word)))))
-    near = long.join(bound, "query").where(F.col("shared") >= distinct_words - word * F.col("bound"))
-    scored = near.withColumn("l", lcs_both("qs", "rs")).withColumn("distance", F.col("l.length") - F.col("l.matches"))
+    words = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("qs") - word + 1, F.lit(1))), lambda i: F.substr("qs", i, F.lit(word)))))
+    told = qs.join(bound, "query", "left").withColumn("needed", words - word * F.col("bound"))
+    sure = F.coalesce(F.col("needed") >= min_shared, F.lit(False))
+    near = long.join(told.where(sure).select("query", "needed"), "query").where(F.col("shared") >= F.col("needed")).select("query", "reference", lcs_both("qs", "rs").alias("l"))
+    scored = near.select("query", "reference", "l.matches", "l.length").union(scan_references(told.where(~sure).select("query", "qs", "bound"), rs))
+    scored = scored.withColumn("distance", F.col("length") - F.col("matches"))
     least = scored.groupBy("query").agg(F.min("distance").alias("least"))
-    found = scored.join(least, "query").where("distance = least").select("qs", "reference", "distance", (F.col("l.matches") / F.col("l.length")).alias("identity"))
+    found = scored.join(least, "query").where("distance = least").join(qs, "query").select("qs", "reference", "distance", F.try_divide("matches", "length").alias("identity"))
     return queries.select(F.col("id").alias("query"), "sequence").join(found, F.col("sequence") == F.col("qs")).select("query", "reference", "distance", "identity")
 
 
@@ -145,7 +185,8 @@ def landmarks(library: DataFrame, n: int, seed: int = 0, sample: int = 2000, rou
     place = F.lit(-1)
     for i, (ident, _) in enumerate(marks):
         place = F.when(F.col("id") == ident, i).otherwise(place)
-    return set_attributes(library, {"landmark_coord": run("sequence"), "landmark_id": place})
+    out = library.withColumn("__coord", run("sequence"))  # a column first: Python has no place in the lambdas that write annotations
+    return set_attributes(out, {"landmark_coord": F.col("__coord"), "landmark_id": place}).select(*library.columns)
 
 
 def coordinates() -> Column:
@@ -176,11 +217,31 @@ def nearest_in_space(queries: DataFrame, references: DataFrame, vector: str, key
     return near.join(least, key).where("distance = least").select(key, "reference", "distance")
 
 
+GEOMETRIC_KEY = "geomref_index"
+
+
+def geometric_index(references: DataFrame, taxa: DataFrame) -> DataFrame:
+    """(id, index): for each reference with coordinates a map of squared distance -> its taxid, for the references of its taxon and below it, itself at 0.
+
+    References meet over the taxa on their paths, so only those of a clade are compared.
+    """
+    r = references.withColumn("__v", coordinates()).where("__v is not null").join(taxa.select("taxid", "path"), "taxid").select("id", "taxid", "path", "__v")
+    below = r.select(F.explode("path.taxid").alias("taxid"), F.col("__v").alias("__w")).distinct()
+    found = r.select("id", "taxid", "__v").join(below, "taxid").select("id", "taxid", squared_distance("__v", "__w").cast("int").alias("d")).distinct()
+    return found.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("d").alias("key"), F.col("taxid").alias("value"))))).alias("index"))
+
+
+def index_geometric(references: DataFrame, taxa: DataFrame) -> DataFrame:
+    """References with their index in landmark space as an annotation; those without coordinates, or of an unknown taxon, pass as they are."""
+    out = references.join(geometric_index(references, taxa).withColumnRenamed("index", "__index"), "id", "left")
+    return set_attributes(out, {GEOMETRIC_KEY: F.col("__index")}).select(*references.columns)
+
+
 def assign_geometric(queries: DataFrame, references: DataFrame, taxa: DataFrame, root: str) -> DataFrame:
     """Like ``assign`` by squared distance in landmark space; the index is read at the smallest key not below it, else the root."""
     q, r = queries.withColumn("__v", coordinates()), references.withColumn("__v", coordinates())
     near = nearest_in_space(q, r, "__v", "id").withColumnRenamed("id", "query")
-    indexed = references.select(F.col("id").alias("reference"), _by_distance("geomref_index").alias("index"))
+    indexed = references.select(F.col("id").alias("reference"), _by_distance(GEOMETRIC_KEY).alias("index"))
     key = F.array_min(F.filter(F.map_keys("index"), lambda k: k >= F.col("distance")))
     hits = near.join(indexed, "reference").withColumn("taxid", F.coalesce(F.try_element_at("index", key), F.lit(root))).join(taxa.select("taxid", "path"), "taxid")
     per = hits.groupBy("query").agg(F.collect_list(F.struct("path", F.lit(1.0).alias("weight"))).alias("e"), F.min("reference").alias("__best"), F.count(F.lit(1)).alias("__n"), F.min("distance").alias("__d"))

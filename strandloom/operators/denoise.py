@@ -34,12 +34,14 @@ def _deletions(s: Column) -> Column:
 
 def one_difference_pairs(nodes: DataFrame) -> DataFrame:
     """(sample, a, b) with one substitution or gap between them, a < b by id; nodes are (sample, id, sequence)."""
-    keyed = nodes.select("sample", "id", "sequence", F.explode(_deletions(F.col("sequence"))).alias("key")).withColumn("key", F.xxhash64("key"))
+    keyed = nodes.select("sample", "id", F.length("sequence").alias("l"), F.explode(_deletions(F.col("sequence"))).alias("key")).withColumn("key", F.xxhash64("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.sample") == F.col("b.sample")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    met = met.where(F.abs(F.length("a.sequence") - F.length("b.sequence")) <= 1)
-    pairs = met.select(F.col("a.sample").alias("sample"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.sequence").alias("sa"), F.col("b.sequence").alias("sb")).distinct()
-    return pairs.where(F.levenshtein("sa", "sb", 1) == 1)
+    met = a.join(b, (F.col("a.sample") == F.col("b.sample")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.l") - F.col("b.l")) <= 1))
+    pairs = met.select(F.col("a.sample").alias("sample"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    # keys travel without their sequences, which only pairs that met are given
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select("sample", F.col("id").alias(side), F.col("sequence").alias(f"s{side}")), ["sample", side])
+    return pairs.where(F.levenshtein("sa", "sb", 1) == 1).select("sample", "a", "b", "sa", "sb")
 
 
 @F.pandas_udf(T.StructType([T.StructField("dist", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("son", T.StringType()), T.StructField("father", T.StringType())]))
@@ -125,11 +127,11 @@ def ratio_table(edges: DataFrame) -> DataFrame:
 def chimeras(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(sample, id, chimera): fatherless variants whose beginning and end, together the whole, are those of two heavier ones.
 
-    Parents come from joins on the halves: of any cover of a sequence by a beginning and an end, one
-    part holds the first or the last half, so candidates share that half's hash with the variant.
+    The parents are those of the longest common beginning, and end, with a heavier variant of the sample. Beginnings of
+    1, 2, 4, ... bases are join keys: among the heavier variants that share the longest such key with a variant is the one of
+    its longest common beginning, so those, and no others, are compared. Ties go to the smallest id.
     """
     free = nodes.join(edges.select("sample", F.col("son").alias("id")).distinct(), ["sample", "id"], "left_anti")
-    half = F.floor(F.length("sequence") / 2).cast("int")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -145,16 +147,22 @@ def chimeras(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     out.append((sample, ident, f"{{{left[1]}}}/{{{right[1]}}}@({left[0] + right[0] - len(own)})({len(own) - right[0]})({left[0]})({len(own)})"))
             yield pd.DataFrame(out, columns=["sample", "id", "chimera"])
 
-    heads = nodes.withColumn("n2", F.col("n"))
-    keys = free.select("sample", "id", "sequence", "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.substr("sequence", F.lit(1), half).alias("text")), F.struct(F.lit(1).alias("side"), F.substr("sequence", half + 1).alias("text")))).alias("k"))
-    sizes = keys.select("sample", "k.side", F.length("k.text").alias("size")).distinct()
-    seen = heads.join(sizes, "sample").select("sample", "side", F.when(F.col("side") == 0, F.substr("sequence", F.lit(1), F.col("size"))).otherwise(F.substr("sequence", F.length("sequence") - F.col("size") + 1)).alias("text"), F.struct("id", "sequence").alias("p"), F.col("n").alias("pn"))
-    met = keys.select("sample", "id", "sequence", "n", "k.side", "k.text").join(seen, ["sample", "side", "text"]).where("pn > n and p.id <> id")
-    # the half that is shared fixes one parent; the other is the heavier variant with the longest match at the other end
-    one = met.select("sample", "id", "sequence", "n", "p").distinct()
-    rest = free.join(one.select("sample", "id").distinct(), ["sample", "id"], "left_semi").alias("f").join(nodes.alias("h"), (F.col("f.sample") == F.col("h.sample")) & (F.substr("f.sequence", F.lit(1), F.lit(8)) == F.substr("h.sequence", F.lit(1), F.lit(8))) | (F.col("f.sample") == F.col("h.sample")) & (F.substring("f.sequence", -8, 8) == F.substring("h.sequence", -8, 8)))
-    rest = rest.where("h.n > f.n").select("f.sample", "f.id", "f.sequence", "f.n", F.struct("h.id", "h.sequence").alias("p"))
-    grouped = one.union(rest).distinct().groupBy("sample", "id", "sequence").agg(F.collect_list("p").alias("parents"))
+    size = F.pow(F.lit(2), F.col("k")).cast("int")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        """(sample, id, n, side, k, text): beginnings (side 0) and ends of 2^k bases."""
+        long = df.where(F.length("sequence") > 0).select("sample", "id", "n", "sequence", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.length("sequence"))).cast("int"))).alias("k"))
+        both = F.array(F.struct(F.lit(0).alias("side"), F.substr("sequence", F.lit(1), size).alias("text")), F.struct(F.lit(1).alias("side"), F.substr("sequence", F.length("sequence") - size + 1).alias("text")))
+        return long.select("sample", "id", "n", "k", F.explode(both).alias("e")).select("sample", "id", "n", "k", "e.*")
+
+    on = ["sample", "side", "k", "text"]
+    mine, theirs = keyed(free), keyed(nodes)
+    heaviest = theirs.groupBy(*on).agg(F.max("n").alias("most"))
+    longest = mine.join(heaviest, on).where("most > n").groupBy("sample", "id", "side").agg(F.max("k").alias("k"))
+    met = mine.join(longest, ["sample", "id", "side", "k"]).join(theirs.select(*on, F.col("id").alias("parent"), F.col("n").alias("pn")), on).where("pn > n and parent <> id")
+    pairs = met.select("sample", "id", "parent").distinct()
+    pairs = pairs.join(free.select("sample", "id", "sequence"), ["sample", "id"]).join(nodes.select("sample", F.col("id").alias("parent"), F.col("sequence").alias("ps")), ["sample", "parent"])
+    grouped = pairs.groupBy("sample", "id", "sequence").agg(F.array_sort(F.collect_list(F.struct(F.col("parent").alias("id"), F.col("ps").alias("sequence")))).alias("parents"))
     return grouped.mapInPandas(run, "sample string, id string, chimera string")
 
 

@@ -123,3 +123,90 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_chimeras_equal_all_pairs(spark):
+    from strandloom.kernels.distance import common_ends, one_difference
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("acgt") for _ in range(rng.choice([30, 40]))) for _ in range(14)]
+    mosaics = [base[i][:c] + base[j][c:] for i, j, c in ((rng.randrange(14), rng.randrange(14), rng.choice([2, 5, 12, 25])) for _ in range(25))]
+    seqs = sorted(set(base + mosaics))
+    rows = [("s", f"v{i:02d}", x, 100 + rng.randrange(50) if x in base else rng.randrange(1, 60)) for i, x in enumerate(seqs)]
+    nodes = spark.createDataFrame(rows, "sample string, id string, sequence string, n long")
+    edges = denoise.error_edges(nodes)
+    fathered = {r["son"] for r in edges.collect()}
+    want = set()
+    for _, ident, own, n in rows:
+        if ident in fathered:
+            continue
+        ends = [(*common_ends(own, q), p) for _, p, q, m in rows if m > n and one_difference(own, q)[0] < 0]
+        if not ends:
+            continue
+        left, right = max(e[0] for e in ends), max(e[1] for e in ends)
+        p, q = min(e[2] for e in ends if e[0] == left), min(e[2] for e in ends if e[1] == right)
+        if left and right and p != q and left < len(own) > right and left + right >= len(own):
+            want.add((ident, f"{{{p}}}/{{{q}}}@({left + right - len(own)})({len(own) - right})({left})({len(own)})"))
+    assert want and {(r["id"], r["chimera"]) for r in denoise.chimeras(nodes, edges).collect()} == want
+
+
+def test_pcr_windows_and_repeated_rows(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("acgt") for _ in range(n)) for n in (3000, 900, 50)]
+    rows = [(f"r{i}", t, i) for i, t in enumerate([*texts, texts[0]])]
+    df = as_records(spark.createDataFrame([*rows, rows[1]], "id string, sequence string, input_order long"))
+    args = dict(errors=1, min_length=10, max_length=200)
+    for flanks in ({}, {"flank": 15}, {"flank": 15, "full_flanks": True}):
+        whole = sorted(map(tuple, patterns.pcr(df, "acgnta", "ttnacg", **args, **flanks).select("id", "sequence").collect()))
+        cut = sorted(map(tuple, patterns.pcr(df, "acgnta", "ttnacg", **args, **flanks, fragment=500).select("id", "sequence").collect()))
+        assert whole and cut == whole
+
+
+def test_nearest_references_lose_none(spark, monkeypatch):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("acgt") for _ in range(rng.randrange(30, 60))) for _ in range(25)]
+    edit = lambda s, share: "".join(rng.choice("acgt") if rng.random() < share else c for c in s if rng.random() > share / 8)
+    asked = [("exact", base[0]), ("none", "t" * 9), ("short", "ac")] + [(f"q{i}", edit(rng.choice(base), i / 40)) for i in range(24)]
+    refs, queries = recs(spark, [(f"r{i:02d}", b) for i, b in enumerate(base)]), recs(spark, asked)
+    want = set()
+    for name, s in asked:
+        d = [(lambda f: f[1] - f[0])(lcs_distance(s, b)) for b in base]
+        want |= {(name, f"r{i:02d}", x) for i, x in enumerate(d) if x == min(d)}
+    for tile in (512, 7):
+        monkeypatch.setattr(assign, "TILE", tile)
+        assert {tuple(r) for r in assign.nearest_references(queries, refs).select("query", "reference", "distance").collect()} == want
+
+
+def test_landmarks_and_geometric_assignment(spark):
+    rng = random.Random(8)
+    base = {t: "".join(rng.choice("acgt") for _ in range(50)) for t in ("s1", "s2", "s3")}
+    swap = lambda s, i: s[:i] + ("a" if s[i] != "a" else "c") + s[i + 1 :]
+    rows = [(f"{t}{k}", swap(b, 3 * k), t) for t, b in base.items() for k in range(4)] + [("g", swap(base["s1"], 40), "ga")]
+    taxa = spark.createDataFrame([("1", "1", "no rank", "root"), ("ga", "1", "genus", "A"), ("gb", "1", "genus", "B"), ("s1", "ga", "species", "A one"), ("s2", "ga", "species", "A two"), ("s3", "gb", "species", "B one")], "taxid string, parent string, rank string, scientific_name string")
+    taxa = taxonomy.with_paths(taxa).cache()
+    refs = assign.landmarks(as_records(spark.createDataFrame(rows, "id string, sequence string, taxid string")), 3, seed=1).cache()
+    coords = {r["id"]: r["c"] for r in refs.select("id", assign.coordinates().alias("c")).collect()}
+    assert all(len(c) == 3 for c in coords.values()) and refs.where(attribute("landmark_id", "bigint") >= 0).count() == 3
+    square = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    under = {"ga": {"ga", "s1", "s2"}, "s1": {"s1"}, "s2": {"s2"}, "s3": {"s3"}}
+    want = {i: {square(coords[i], coords[j]): t for j, _, u in rows if u in under[t]} for i, _, t in rows}
+    assert {r["id"]: r["index"] for r in assign.geometric_index(refs, taxa).collect()} == want
+    indexed = assign.index_geometric(refs, taxa)
+    out = {r["id"]: r["taxid"] for r in assign.assign_geometric(refs.withColumn("taxid", F.lit(None).cast("string")), indexed, taxa, "1").collect()}
+    assert len(out) == len(rows) and all(out[f"s3{k}"] == "s3" for k in range(4))
+
+
+def test_clusters_and_low_complexity(spark):
+    from strandloom.operators import complexity
+
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("acgt") for _ in range(40)) for _ in range(2))
+    near = a[:20] + ("c" if a[20] != "c" else "g") + a[21:]
+    df = as_records(spark.createDataFrame([("x", a, 5, "k"), ("y", near, 2, "k"), ("z", b, 3, "k"), ("w", a, 1, "other")], "id string, sequence string, count long, fam string"))
+    out = {r["id"]: r["c"] for r in assign.cluster_greedy(df, ["fam"], 0.9).select("id", F.col("cluster_id").alias("c")).collect()}
+    assert out["x"] == out["y"] and out["z"] != out["x"] and len(out) == 4
+    low = as_records(spark.createDataFrame([("p", a + "a" * 60 + b), ("q", a)], "id string, sequence string"))
+    masked = {r["id"]: r["sequence"] for r in complexity.mask_low(low, k=20).collect()}
+    assert masked["q"] == a and "." * 40 in masked["p"] and len(masked["p"]) == 140
+    parts = complexity.extract_regions(low, low=False, k=20).collect()
+    assert all("a" * 30 not in r["sequence"] for r in parts)
