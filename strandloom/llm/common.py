@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,23 +14,46 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session names none (tests on one machine) a temporary folder is set for it.
+    A session in one process that names none (tests) gets a temporary folder; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver's Python ends."""
+    """A new path under the shared folder, removed when the driver's Python ends if ``sweep`` has not done so before."""
+    if not _made:
+        atexit.register(_forget_all)
     path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
+    _made[path] = spark
     return path
 
 
+def scratch_paths() -> set[str]:
+    return set(_made)
+
+
+def sweep(spark: SparkSession, keep: set[str]) -> None:
+    """Remove what ``scratch_path`` gave out but ``keep``; for callers who have written what was made of it."""
+    for path in scratch_paths() - keep:
+        if _made[path] is spark:
+            remove_path(spark, path)
+
+
+def _forget_all() -> None:
+    for path, spark in list(_made.items()):
+        _forget(spark, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove_path(spark, path)
@@ -41,12 +65,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
 
 
 #: With this, Spark removes the shuffle files of an execution when it is over.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
 

@@ -8,7 +8,9 @@ gives, and a vector is sent to every cell that the ball of half the block's radi
 vectors within the radius meet where their midpoint is. In a cell, pairs within the block's share are found by
 blocked matrix products and verified by cosine in double precision over the vectors as stored; a pair
 counts in its first block within the share, in the midpoint's cell, and nowhere else. A cell gives counts
-of links and a spanning forest, not pairs. Cuts grow finer with the number of vectors of the largest label, so that a
+of links and a spanning forest, not pairs. A cell of more than ``CROWD`` vectors, as a dense cluster makes one
+however fine the cells are, is compared in tiles: its vectors are dealt to parts, and each pair of parts is a task of its own, so
+no task holds more than about two parts. Cuts grow finer with the number of vectors of the largest label, so that a
 cell keeps its size; equal vectors of a label are one, with their number.
 
 Cases: a null label, and a vector that is null, empty, zero, or has a null or non-finite component, links with nothing; vectors of
@@ -32,6 +34,8 @@ COSINE = 0.98
 BLOCK = 8
 #: Vectors of one label in a cell, about, before cuts get finer.
 CELL = 1000
+#: Vectors that one task compares; larger cells become tiles of two halves of it.
+CROWD = 4096
 _SLACK = 1e-9
 _TILE = 2048
 
@@ -90,34 +94,64 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
-def spread(vectors: DataFrame, n_cells: int, cosine: float) -> DataFrame:
-    """(label, dim, block, cell, id, n, vec) for each cell that a vector is sent to. vec: its float32 components."""
+def spread(vectors: DataFrame, n_cells: int, cosine: float, with_vectors: bool = True) -> DataFrame:
+    """(label, dim, block, cell, id, n, vec) for each cell that a vector is sent to. vec: its float32 components. Without vectors, (label, dim, block, cell) and how many a batch sends there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(part: pa.RecordBatch, d: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        v = _matrix(part.column("vec")).astype(np.float64)
+        z = v / np.linalg.norm(v, axis=1, keepdims=True) @ rotation(d)
+        for k, where in enumerate(blocks_of(d)):
+            share = (2 - 2 * cosine + _SLACK) * (where.stop - where.start) / d
+            yield k, *touched_cells(z[:, where], cuts_of(d, n_cells, where.stop - where.start), np.sqrt(share) / 2 + _SLACK)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for b in batches:
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 own = b.take(pa.array(np.flatnonzero(dims == d)))
                 for i in range(0, own.num_rows, 4096):
-                    part = own.slice(i, 4096)
-                    v = _matrix(part.column("vec")).astype(np.float64)
-                    z = v / np.linalg.norm(v, axis=1, keepdims=True) @ rotation(d)
-                    for k, where in enumerate(blocks_of(d)):
-                        share = (2 - 2 * cosine + _SLACK) * (where.stop - where.start) / d
-                        rows, cells = touched_cells(z[:, where], cuts_of(d, n_cells, where.stop - where.start), np.sqrt(share) / 2 + _SLACK)
-                        for j in range(0, len(rows), 8192):
-                            sent = part.take(pa.array(rows[j : j + 8192]))
-                            n = sent.num_rows
-                            yield pa.RecordBatch.from_arrays([sent.column("label"), sent.column("dim"), pa.array(np.full(n, k), pa.int32()), pa.array(cells[j : j + 8192], pa.int64()), sent.column("id"), sent.column("n"), sent.column("vec")], ["label", "dim", "block", "cell", "id", "n", "vec"])
+                    yield d, own.slice(i, 4096)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, part in parts(batches):
+            for k, rows, cells in sent(part, d):
+                for j in range(0, len(rows), 8192):
+                    out = part.take(pa.array(rows[j : j + 8192]))
+                    yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dim"), pa.array(np.full(out.num_rows, k), pa.int32()), pa.array(cells[j : j + 8192], pa.int64()), out.column("id"), out.column("n"), out.column("vec")], ["label", "dim", "block", "cell", "id", "n", "vec"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, part in parts(batches):
+            labels = part.column("label").to_numpy()
+            for k, rows, cells in sent(part, d):
+                where, n = np.unique(np.column_stack((labels[rows], cells)), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(where[:, 0], pa.int32()), pa.array(np.full(len(n), d), pa.int32()), pa.array(np.full(len(n), k), pa.int32()), pa.array(where[:, 1], pa.int64()), pa.array(n, pa.int64())], ["label", "dim", "block", "cell", "members"])
+
+    if not with_vectors:
+        return vectors.mapInArrow(count, "label int, dim int, block int, cell long, members long")
     return vectors.mapInArrow(run, "label int, dim int, block int, cell long, id long, n long, vec binary")
 
 
+def tiles(vectors: DataFrame, n_cells: int, cosine: float) -> DataFrame:
+    """``spread`` with ``part``, ``i`` and ``j``: rows of (cell, i, j) meet; those of i and j differ in part, unless i = j. Most cells are one tile."""
+    where = ["label", "dim", "block", "cell"]
+    crowds = spread(vectors, n_cells, cosine, with_vectors=False).groupBy(*where).agg(F.sum("members").alias("members")).where(F.col("members") > CROWD)
+    crowds, _ = write_table(crowds, "crowds")
+    rows = spread(vectors, n_cells, cosine)
+    if crowds.isEmpty():
+        return rows.select("*", *[F.lit(0).alias(c) for c in ("part", "i", "j")])
+    parts = F.coalesce(F.ceil(F.col("members") / (CROWD // 2)), F.lit(1)).cast("int")
+    rows = rows.join(crowds, where, "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select(*where, "id", "n", "vec", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+
+
 def links_in_cell(n_cells: int, cosine: float):
-    """For applyInArrow over (label, dim, block, cell): (id, links, other) with counts of linked vectors, and a smaller id linked in this cell or null."""
+    """For applyInArrow over (label, dim, block, cell, i, j): (id, links, other) with counts of linked vectors, and the smallest id of those linked through each other here."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         d, block, cell = (k.as_py() for k in key[1:4])
+        apart = key[4].as_py() != key[5].as_py()
+        part = t.column("part").to_numpy()
         ids, weight = t.column("id").to_numpy(), t.column("n").to_numpy()
         v = _matrix(t.column("vec").combine_chunks()).astype(np.float64)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -140,7 +174,8 @@ def links_in_cell(n_cells: int, cosine: float):
                 sa, sb = slice(a, a + _TILE), slice(b, b + _TILE)
                 i, j = np.nonzero(square[sa, None] + square[None, sb] - 2 * x[sa] @ x[sb].T <= shares[block] + 1e-12)
                 i, j = i + a, j + b
-                i, j = i[i < j], j[i < j]
+                new = (i < j) & (part[i] != part[j]) if apart else i < j
+                i, j = i[new], j[new]
                 for c in range(0, len(i), 1 << 16):
                     p, q = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
                     good = np.einsum("ij,ij->i", v[p], v[q]) >= cosine
@@ -171,23 +206,24 @@ def near_classes(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     sound = sound & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), vec.alias("v"), F.coalesce(sound, F.lit(False)).alias("sound"))
-    rows = rows.withColumn("id", F.when(F.col("sound"), F.xxhash64("label", "v")))
-    classes = rows.where("sound").groupBy("id", "label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"))
+    # the hash only spreads the rows: what is equal is told by the vectors
+    rows = rows.withColumn("h", F.when(F.col("sound"), F.xxhash64("label", "v")))
+    classes = rows.where("sound").groupBy("h", "label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low")).withColumn("id", F.monotonically_increasing_id())
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [np.array(x, np.float32).tobytes() for x in b.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("n"), b.column("low"), pa.array([len(r) // 4 for r in raw], pa.int32()), pa.array(raw, pa.binary())], ["id", "label", "n", "low", "dim", "vec"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(r) // 4 for r in raw], pa.int32()), pa.array(raw, pa.binary())], [*b.schema.names, "dim", "vec"])
 
-    classes, _ = write_table(classes.mapInArrow(as_bytes, "id long, label int, n long, low long, dim int, vec binary"), "vectors")
+    classes, _ = write_table(classes.mapInArrow(as_bytes, "h long, label int, v array<float>, n long, low long, id long, dim int, vec binary"), "vectors")
     most = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     n_cells = -(-most // CELL)
-    cells = spread(classes.drop("low"), n_cells, cosine).groupBy("label", "dim", "block", "cell").applyInArrow(links_in_cell(n_cells, cosine), "id long, links long, other long")
+    cells = tiles(classes.drop("low", "h", "v"), n_cells, cosine).groupBy("label", "dim", "block", "cell", "i", "j").applyInArrow(links_in_cell(n_cells, cosine), "id long, links long, other long")
     found, _ = write_table(cells, "links")
     components = connected_components(found.where("id <> other").select(F.col("id").alias("src"), F.col("other").alias("dst")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left").select("id", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    named = classes.join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left").select("h", "label", "v", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "component").select("id", "n_links", "component_id")
-    out = rows.select("vec_id", "id", "sound").join(named, "id", "left")
+    named = named.join(lows, "component").select("h", "label", "v", "n_links", "component_id")
+    out = rows.join(named, ["h", "label", "v"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("sound"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -8,7 +8,8 @@ times the landmarks' presence matrix times that matrix.
 
 The model is fitted on a bounded sample: ``per_class`` documents of each language by a hash of doc_id,
 of which ``landmarks`` are landmarks; scoring covers every whole text. A null text, or one without a
-letter, is ``und`` with score 0. Rows without a language teach nothing. With no row to learn from, every
+letter, is ``und`` with score 0. Rows without a language teach nothing, rows that
+share a doc_id and a language teach once, by one of their texts. Very long texts are read in windows of ``WINDOW`` characters. With no row to learn from, every
 text is ``und``. Ties go to the first language by name. An empty table gives an empty result.
 """
 
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.common import free_name
+
 UNKNOWN = "und"
 WINDOW = 1 << 20
 BATCH = 128
@@ -135,7 +138,9 @@ def fit(docs: DataFrame, per_class: int = 300, landmarks: int = 32) -> KernelMod
         return fit_kernel([], [], landmarks)
     span = 1 << 40
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(span, span * 3 * per_class // (2 * n)))])
-    rows = teach.where(F.pmod("h", F.lit(span)) < limits[F.col("lang")]).select("lang", "text", "h").mapInArrow(_codes, "lang string, h long, codes binary").collect()
+    # rows that share a doc_id teach once, so what is collected is bounded for a hot one too
+    taken = teach.where(F.pmod("h", F.lit(span)) < limits[F.col("lang")]).groupBy("lang", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = taken.select("lang", "text", "h").mapInArrow(_codes, "lang string, h long, codes binary").collect()
     kept: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["h"] % span, r["codes"])):
         if len(r["codes"]) and len(kept.setdefault(r["lang"], [])) < per_class:
@@ -143,20 +148,21 @@ def fit(docs: DataFrame, per_class: int = 300, landmarks: int = 32) -> KernelMod
     return fit_kernel([c for lang in kept for c in kept[lang]], [lang for lang in kept for _ in kept[lang]], landmarks)
 
 
-def predict(docs: DataFrame, model: KernelModel) -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score."""
+def predict(docs: DataFrame, model: KernelModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the language and its score, under the names given; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks' grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names, scores = shared.value.predict(b.column(b.schema.get_field_index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang, score])
 
-    own = docs.drop("lang_pred", "score")
-    return own.mapInArrow(run, T.StructType(list(own.schema.fields)).add("lang_pred", "string").add("score", "double"))
+    own = docs.drop(lang, score)
+    return own.mapInArrow(run, T.StructType(list(own.schema.fields)).add(lang, "string").add(score, "double"))
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, **fit_args: int) -> DataFrame:
     """The documents whose language is told with ``min_score`` or more; text without letters, or like no learned language, goes."""
-    told = predict(docs, fit(docs, **fit_args))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    lang, score = free_name(docs, "__lang"), free_name(docs, "__score")
+    told = predict(docs, fit(docs, **fit_args), lang, score)
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)

@@ -3,7 +3,8 @@
 Each document becomes its ids and an end id; only longer ones than the sequence length are cut, so
 that all pieces but the first are full. Pieces are dealt to groups of bounded size by a hash, packed
 by best-fit decreasing, and every group's bin count is held against a lower bound from dual-feasible
-functions. Groups that meet the bound are done. From the others, the pieces of bins that are not full
+functions. A group with a gap is packed once more with bins filled exactly (``fill_exactly``), and the better packing
+stands. Groups that meet the bound are done. From the others, the pieces of bins that are not full
 are dealt anew, to fewer groups, and packed again, until the bound of the whole table is met or a
 round brings nothing. What reaches the driver is one row per group and the histogram of lengths.
 
@@ -78,6 +79,47 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np
     return bins, offsets, np.array(fill, np.int64)
 
 
+def _partners(left: np.ndarray, room: int) -> list[int]:
+    """One or two lengths, of those that are left, that fill the room to its end; empty if there are none."""
+    if left[room]:
+        return [room]
+    both = np.flatnonzero((left[1:room] > 0) & (left[room - 1 : 0 : -1] > 0)) + 1
+    both = both[(2 * both != room) | (left[both] > 1)]
+    return [int(both[-1]), room - int(both[-1])] if len(both) else []
+
+
+def fill_exactly(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``best_fit_decreasing``, but every bin begins with the longest piece left and is filled to its end by one or two others if such are left, else by the longest that fits."""
+    order = np.argsort(-lengths, kind="stable")
+    left = np.bincount(lengths, minlength=capacity + 1)
+    of_length = np.cumsum(left[::-1])[::-1] - left  # where the pieces of a length begin in ``order``
+    bins, offsets, fill = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), []
+
+    def put(size: int) -> None:
+        left[size] -= 1
+        k = order[of_length[size] + left[size]]
+        bins[k], offsets[k] = len(fill) - 1, fill[-1]
+        fill[-1] += size
+
+    longest = capacity
+    while True:
+        while longest and not left[longest]:
+            longest -= 1
+        if not longest:
+            return bins, offsets, np.array(fill, np.int64)
+        fill.append(0)
+        put(longest)
+        while fill[-1] < capacity:
+            room = capacity - fill[-1]
+            found = _partners(left, room)
+            if not found:
+                found = np.flatnonzero(left[: room + 1])[-1:].tolist()
+            if not found:
+                break
+            for size in found:
+                put(size)
+
+
 def lower_bound(histogram: np.ndarray, capacity: int = LENGTH) -> int:
     """The best bound on the number of bins over two families of dual-feasible functions; histogram[x]: items of length x."""
     x = np.arange(capacity + 1, dtype=np.int64)
@@ -96,7 +138,12 @@ def _pack_group(capacity: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         lengths = t.column("length").to_numpy()
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1], capacity)
+        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1], capacity)
+        if len(fill) > bound:
+            other = fill_exactly(lengths, capacity)
+            if len(other[2]) < len(fill):
+                bins, offsets, fill = other
+        gap = len(fill) - bound
         out = t.select(["doc_id", "piece", "start", "length", "ids_crc32"])
         seq = (key[0].as_py() << 32) + bins
         for name, col in (("sequence_id", seq), ("offset", offsets), ("fill", fill[bins])):
@@ -109,7 +156,8 @@ def _pack_group(capacity: int) -> Callable[[tuple, pa.Table], pa.Table]:
 def _pack(pieces: DataFrame, n: int, first_group: int, capacity: int) -> tuple[DataFrame, int, int]:
     """(packed pieces, bins, groups): n pieces dealt to groups from ``first_group`` on."""
     groups = max(1, -(-n // GROUP))
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)) + F.lit(first_group))
+    # the place in the written table parts equal rows, and is the same when a task runs again
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)) + F.lit(first_group))
     out, _ = write_table(dealt.groupBy("g").applyInArrow(_pack_group(capacity), PIECES + ", sequence_id long, offset long, fill long, gap long"), "packed")
     return out, out.where(F.col("offset") == 0).count(), groups
 

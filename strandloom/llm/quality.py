@@ -8,7 +8,8 @@ Features of a text are the distinct words (lower case), their first 3, 4 and 5 b
 punctuation at their ends, capitals, and tenths of repetition; all are hashed to ``BUCKETS``. The
 model is fitted on at most ``max_rows`` rated documents chosen by a hash of doc_id; every whole text
 is scored. Null and empty texts have only their repetition feature and get a score like any other.
-Rows rated more than once count as often; a rating with a null part is left out. Without any rating
+Columns of the names that ``score`` adds are replaced, and ``keep_good`` keeps the columns of its input as they are. Very long texts are
+one set of features. Rows rated more than once, and rows that share a rated doc_id, count as often; a rating with a null part is left out. Without any rating
 every document gets the top grade. Ties and repeated rows need no rule, as each row is scored alone.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.common import free_name
 from strandloom.llm.worker import claim
 
 BUCKETS = 1 << 18
@@ -89,7 +91,7 @@ def scale(n: int | np.ndarray) -> float | np.ndarray:
 def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, updates: int = 2400, batch: int = 32, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> OrdinalModel:
     """Adagrad on the cumulative-link likelihood; thresholds are a first one and gaps, kept positive as exponentials."""
     w, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
-    part = np.array([np.mean(grades <= k) for k in range(GRADES - 1)]).clip(0.01, 0.99)
+    part = np.array([np.mean(grades <= k) if len(grades) else 0.5 for k in range(GRADES - 1)]).clip(0.01, 0.99)
     theta = np.maximum.accumulate(np.log(part / (1 - part)) + 0.1 * np.arange(GRADES - 1))
     raw = np.concatenate((theta[:1], np.log(np.diff(theta) + 1e-3)))
     raw_squares = np.full(len(raw), 1e-3)
@@ -137,25 +139,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> OrdinalMo
     rated = labels.where("quality is not null and toxic is not null and doc_id is not null").select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"), F.xxhash64("doc_id").alias("h"))
     n, span = rated.count(), 1 << 40
     rated = rated.where(F.pmod("h", F.lit(span)) < min(span, span * max_rows // max(n, 1)))
-    rows = docs.select("doc_id", "text").join(rated, "doc_id").select("h", "grade", "text").limit(2 * max_rows).mapInArrow(_with_features, "h long, grade int, x binary").collect()
-    taken = sorted(((r["h"], r["grade"], bytes(r["x"])) for r in rows))[:max_rows]
-    del rows
-    return fit_ordinal([np.frombuffer(x, np.int32) for _, _, x in taken], np.array([g for _, g, _ in taken], int))
+    found = docs.select("doc_id", "text").join(rated, "doc_id").select("h", "grade", "text").mapInArrow(_with_features, "h long, grade int, x binary")
+    # features are made where the texts are; of those, a bounded number goes on
+    rows = found.orderBy("h", "grade", "x").limit(max_rows).collect()
+    return fit_ordinal([np.frombuffer(bytes(r["x"]), np.int32) for r in rows], np.array([r["grade"] for r in rows], int))
 
 
-def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """All columns of ``docs`` and expected_grade, p_good."""
+def score(docs: DataFrame, model: OrdinalModel, expected: str = "expected_grade", p_good: str = "p_good") -> DataFrame:
+    """All columns of ``docs`` and the expected grade and the top grade's probability, under the names given; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tails = shared.value.tails([features(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*b.schema.names, "expected_grade", "p_good"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*b.schema.names, expected, p_good])
 
-    own = docs.drop("expected_grade", "p_good")
-    return own.mapInArrow(run, T.StructType(list(own.schema.fields)).add("expected_grade", "double").add("p_good", "double"))
+    own = docs.drop(expected, p_good)
+    return own.mapInArrow(run, T.StructType(list(own.schema.fields)).add(expected, "double").add(p_good, "double"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, min_p: float = MIN_P, max_rows: int = 12_000) -> DataFrame:
     """The documents that have the top grade with probability ``min_p`` or more."""
-    return score(docs, fit(docs, labels, max_rows)).where(F.col("p_good") >= min_p).select(*docs.columns)
+    grade, p = free_name(docs, "__grade"), free_name(docs, "__p")
+    return score(docs, fit(docs, labels, max_rows), grade, p).where(F.col(p) >= min_p).select(*docs.columns)
