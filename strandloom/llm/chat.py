@@ -5,7 +5,8 @@ the conversation up to it: a rolling polynomial over turn digests modulo 2^127 -
 of turns is two numbers and states of neighbouring runs combine. Turns are sorted by range of the whole
 sort key, so their order does not depend on the partitions; each
 partition rolls over its own turns, the driver combines one state per partition, and a second pass
-adds what came before: no conversation has to fit a task. A conversation is dropped if its last hash,
+adds what came before: no conversation has to fit a task to be hashed and collapsed. Rendering gathers a
+maximal conversation into one row, as its text is one value. A conversation is dropped if its last hash,
 at its number of turns, is an inner hash of a longer one (anti-join of distinct hashes), or if an equal
 conversation has a smaller conv_id. The maximal ones are rendered.
 

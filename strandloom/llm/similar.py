@@ -1,32 +1,58 @@
 """Links of all similar pairs that share a bucket.
 
-Items have an id, bucket keys and a set of shingles; a pair is linked if its exact Jaccard similarity
-suffices. Small buckets are compared in full. In crowded ones all members are first compared with one of
-them, the star: those near enough are linked to it and leave, unless one that is not linked could
-be near them. As Jaccard distance is a metric, a linked member closer to the star than the nearest
-one that is not linked, less the distance allowed, has no link to any of those. What is left goes on to
-a new star and, after ``ROUNDS`` of them, is compared in full in blocks of bounded size, so the
-components are those of all pairs.
+Items have an id, bucket keys and a set of shingles, kept apart; a pair is linked if its exact Jaccard similarity
+suffices. Small buckets are compared in full. In larger ones all members are compared with one of
+them, the star, and those that are not linked with another one, ``ROUNDS`` times. What these links make one component needs no
+further link. Members of a bucket that are in different components even then are compared, unless their distances to the
+bucket's first star tell that they are too far from each other: Jaccard distance is a metric. So the components are those of all
+pairs, and the number of comparisons grows with the members, but for what collides without being similar.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import write_table
+from strandloom.llm.common import connected_components, write_table
 
-DENSE = 48
+#: Members of a bucket that are compared in full.
+DENSE = 8
 ROUNDS = 3
 
 
+def shared(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """How many values the sets of each row have in common; no set has a value twice."""
+    sizes = [pc.list_value_length(c).to_numpy().astype(np.int64) for c in (x, y)]
+    rows = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+    values = np.concatenate([c.flatten().to_numpy() for c in (x, y)])
+    order = np.argsort(values)
+    rows = rows[order].astype(np.uint16 if len(x) < 1 << 16 else np.int64)
+    again = np.argsort(rows, kind="stable")  # a radix sort for numbers of 16 bits
+    rows, values = rows[again], values[order][again]
+    twice = (rows[1:] == rows[:-1]) & (values[1:] == values[:-1])
+    return np.bincount(rows[1:][twice], minlength=len(x))
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (src, dst) with ``linked`` and their Jaccard distance ``d``."""
     a, b = sets.select(F.col("id").alias("src"), F.col("s").alias("x")), sets.select(F.col("id").alias("dst"), F.col("s").alias("y"))
-    both = pairs.join(a, "src").join(b, "dst").withColumn("n", F.size(F.array_intersect("x", "y"))).withColumn("all", F.size("x") + F.size("y") - F.col("n"))
-    return both.select("src", "dst", (F.col("n") >= similarity * F.col("all")).alias("linked"), (1 - F.col("n") / F.col("all")).alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                part = whole.slice(i, 1024)
+                x, y = part.column("x"), part.column("y")
+                n = shared(x, y)
+                every = pc.list_value_length(x).to_numpy() + pc.list_value_length(y).to_numpy() - n
+                yield pa.RecordBatch.from_arrays([part.column("src"), part.column("dst"), pa.array(n >= similarity * every), pa.array(1 - n / np.maximum(every, 1))], ["src", "dst", "linked", "d"])
+
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long, linked boolean, d double")
 
 
 def _crowds(members: DataFrame) -> DataFrame:
@@ -35,37 +61,63 @@ def _crowds(members: DataFrame) -> DataFrame:
     return members.join(sizes, "key")
 
 
-def _pairs(crowds: DataFrame, similarity: float, block: int) -> DataFrame:
-    """All pairs (src, dst) of each bucket whose sizes allow the similarity; no group of the join has more than about two blocks."""
-    parts = F.ceil(F.col("m") / block).cast("int")
-    own = crowds.withColumn("b", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    own = own.select("key", "id", "n", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    a, b = own.alias("a"), own.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.id") < F.col("b.id")))
-    met = met.where((F.col("a.i") == F.col("a.j")) | (F.col("a.b") != F.col("b.b")))
-    return met.where(F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-
-
-def similar_links(items: DataFrame, similarity: float, dense: int = DENSE, rounds: int = ROUNDS) -> DataFrame:
-    """(id, keys, shingles) -> (src, dst) links whose components are those of all pairs that share a key and are similar. Rows of one id have equal sets."""
-    members = items.select("id", F.size("shingles").alias("n"), F.explode("keys").alias("key")).distinct()
-    crowds, _ = write_table(_crowds(members), "buckets")
-    wanted = crowds.select("id").distinct()
-    sets, _ = write_table(items.select("id", "shingles").join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("shingles").alias("s")), "sets")
-    full, links = [crowds.where(F.col("m") <= dense)], []
-    crowds = crowds.where(F.col("m") > dense)
+def _met(items: DataFrame) -> DataFrame:
+    """(key, id) of the keys that different ids have. Most keys have one id only, which is told by its minimum and maximum alone."""
+    members = items.select("id", F.explode("keys").alias("key"))
+    shared, _ = write_table(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "keys")
+    return members.join(shared, "key", "left_semi").distinct()
+
+
+def _pairs(crowds: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (src, dst) of each bucket whose sizes allow the similarity; for buckets of few members."""
+    a, b = crowds.alias("a"), crowds.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")))
+    return met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
+
+
+def _apart(members: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of a bucket in different components that may be similar still. members: (key, id, n, d), d their distances to one of the bucket.
+
+    Most members of a bucket are in one component by now, its home; pairs are made of the others with all that are not in their own component.
+    """
+    own = members.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    homes = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("home"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    homes, _ = write_table(homes.select("key", "home"), "homes")
+    own, _ = write_table(own.join(homes, "key"), "apart")
+    a, b = own.where("component <> home").alias("a"), own.alias("b")
+    near = (F.col("a.component") != F.col("b.component")) & (F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similarity + 1e-9) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & near & ((F.col("b.component") == F.col("b.home")) | (F.col("a.id") < F.col("b.id"))))
+    return met.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
+
+
+def similar_links(items: DataFrame, similarity: float, dense: int = DENSE, rounds: int = ROUNDS, *, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, keys) -> (src, dst) links whose components are those of all pairs that share a key and are similar.
+
+    ``sets_of`` gives (id, shingles) for a table of ids; without it, ``items`` has a column ``shingles``. Only ids that
+    share a key with another are asked for, so that sets of all others need not be kept. Rows of one id have equal sets.
+    """
+    met, _ = write_table(_met(items), "met")
+    wanted = met.select("id").distinct()
+    found = sets_of(wanted) if sets_of else items.select("id", "shingles").join(wanted, "id", "left_semi").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
+    sets, _ = write_table(found.select("id", F.col("shingles").alias("s")), "sets")
+    crowds, _ = write_table(_crowds(met.join(sets.select("id", F.size("s").alias("n")).distinct(), "id").select("key", "id", "n")), "buckets")
+    small, large = crowds.where(F.col("m") <= dense), crowds.where(F.col("m") > dense)
+    links = [_measured(_pairs(small, similarity), sets, similarity).where("linked").select("src", "dst")]
+    if large.isEmpty():
+        return links[0]
+    left, first = large, None
     for _ in range(rounds):
-        if crowds.isEmpty():
-            break
-        stars = crowds.where("id <> star").select(F.col("star").alias("src"), F.col("id").alias("dst")).distinct()
-        told, _ = write_table(_measured(stars, sets, similarity), "stars")
+        stars = left.where("id <> star").select(F.col("star").alias("src"), F.col("id").alias("dst")).distinct()
+        told, _ = write_table(_measured(stars, sets, similarity).distinct(), "stars")
         links.append(told.where("linked").select("src", "dst"))
-        seen = crowds.join(told, (F.col("star") == F.col("src")) & (F.col("id") == F.col("dst"))).select("key", "id", "n", "linked", "d")
-        apart = seen.where("not linked").groupBy("key").agg(F.min("d").alias("nearest"))
-        left = seen.join(apart, "key").where(~F.col("linked") | (F.col("d") >= F.col("nearest") - (1 - similarity) - 1e-9)).select("key", "id", "n")
-        crowds, _ = write_table(_crowds(left), "buckets")
-        full.append(crowds.where(F.col("m") <= dense))
-        crowds = crowds.where(F.col("m") > dense)
-    pairs = reduce(DataFrame.union, [_pairs(x, similarity, dense) for x in (reduce(DataFrame.union, full), crowds)]).distinct()
-    links.append(_measured(pairs, sets, similarity).where("linked").select("src", "dst"))
-    return reduce(DataFrame.union, links)
+        seen = left.join(told, (F.col("star") == F.col("src")) & (F.col("id") == F.col("dst"))).select("key", "id", "n", "linked", "d")
+        if first is None:
+            first = seen.select("key", "id", "n", "d").union(large.where("id = star").select("key", "id", "n", F.lit(0.0)))
+            first, _ = write_table(first, "first")
+        left, _ = write_table(_crowds(seen.where("not linked").select("key", "id", "n")), "buckets")
+        if left.isEmpty():
+            break
+    told, _ = write_table(reduce(DataFrame.union, links).distinct(), "links")
+    apart = _measured(_apart(first, connected_components(told), similarity), sets, similarity)
+    return told.union(apart.where("linked").select("src", "dst"))

@@ -6,7 +6,9 @@ stand inside lines, content-defined paragraphs of ``WORDS`` words begin wherever
 the smallest hash of ``WINNOW`` shingles in a row: a passage of 50 words or more, wherever it stands,
 has one of them whole. The first kind is banded (``BANDS`` bands of ``ROWS`` MinHash values: a pair of
 similarity 0.8 collides with probability 0.97, one of 0.9 with 0.999); all lines that collide are
-linked by exact Jaccard similarity over five-word shingles, 0.8 or more (``similar_links``). The second kind has one band of all its shingles: equal paragraphs only, however many.
+linked by exact Jaccard similarity over five-word shingles, 0.8 or more (``similar_links``). Only lines that collide
+with another are looked up in their texts again, for their shingles (``line_sets``). The second kind has one band of
+all its shingles: equal paragraphs only, however many, which are compared word by word with the kept one before they go.
 
 The classes of verified links are components; in each the occurrence in the smallest doc_id stays and
 those in other documents go. What is removed is whole words: a line, or a content-defined paragraph and
@@ -16,21 +18,24 @@ go only where they agree. Repeats inside the keeping document stay.
 
 Cases: null and short texts have no paragraphs and stay; rows without doc_id neither keep nor lose
 anything; rows that share a doc_id count as one document, and a span is only cut where the text's words
-have the paragraph's hash; an empty table gives empty results.
+have the paragraph's hash; of equal paragraphs the first of the smallest doc_id is kept; very long texts are
+hashed in parts; further columns of any name are kept; an empty table gives empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import connected_components, write_table
+from strandloom.llm.common import connected_components, free_name, write_table
 from strandloom.llm.similar import similar_links
 
 SHINGLE = 5
@@ -101,20 +106,6 @@ def paragraph_ids(shingles: np.ndarray, places: np.ndarray) -> np.ndarray:
     return _mix((rows * _numbers(m, 2)).sum(axis=1, dtype=np.uint64))
 
 
-def anchors(shingles: np.ndarray) -> np.ndarray:
-    """Where content-defined paragraphs begin."""
-    n, room = len(shingles), len(shingles) - (WORDS - SHINGLE + 1)
-    if room < 0:
-        return np.empty(0, np.int64)
-    w = min(WINNOW, n)
-    found = [np.empty(0, np.int64)]
-    for i in range(0, n - w + 1, _PART):
-        part = shingles[i : i + _PART + w - 1]
-        found.append(np.unique(np.lib.stride_tricks.sliding_window_view(part, w).argmin(axis=1) + np.arange(len(part) - w + 1)) + i)
-    places = np.unique(np.concatenate(found))
-    return places[places <= room]
-
-
 def _segments(values: np.ufunc, of: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A reduction over of[a:b] for each (a, b), which are not empty and in order."""
     return values.reduceat(np.append(of, of[-1:]), bounds.ravel())[::2]
@@ -125,17 +116,6 @@ def line_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return _mix(_segments(np.add, _mix(shingles + np.uint64(9)), bounds) + (bounds[:, 1] - bounds[:, 0]).astype(np.uint64))
 
 
-def lines_of(raw: bytes, starts: np.ndarray) -> list[tuple[int, int]]:
-    """(first word, end) of lines, and of blocks of several lines between blank ones, of at least MIN_LINE words."""
-    breaks = np.searchsorted(starts, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10))
-    ends, times = np.unique(breaks, return_counts=True)
-    found: set[tuple[int, int]] = set()
-    for inner in (ends, ends[times > 1]):
-        cuts = np.unique(np.concatenate(([0], inner, [len(starts)]))).tolist()
-        found.update((a, b) for a, b in zip(cuts, cuts[1:]) if b - a >= MIN_LINE)
-    return sorted(found)
-
-
 def band_keys(shingles: np.ndarray, bounds: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """Lines x bands: a hash of each band's smallest values under ROWS orders."""
     lows = np.array([_segments(np.minimum, (shingles ^ m) * m, bounds) for m in _numbers(bands * ROWS, 3)], np.uint64)
@@ -143,50 +123,121 @@ def band_keys(shingles: np.ndarray, bounds: np.ndarray, bands: int = BANDS) -> n
     return _mix((rows * _numbers(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
-_SCHEMA = "kind tinyint, id long, doc_id long, first int, size int, keys array<long>, shingles array<int>"
+_SCHEMA = "kind tinyint, id long, doc_id long, first int, size int, keys array<long>"
+#: Bytes of texts that are looked at together.
+TOGETHER = 1 << 20
+
+
+@dataclass
+class Texts:
+    """The words of several texts in a row: their hashes, and shingles, of which those over two texts are never used."""
+
+    hashes: np.ndarray
+    shingles: np.ndarray
+    begins: np.ndarray  # the first word of each text, and the number of words
+    breaks: np.ndarray  # the word after each line end
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Texts:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        joined = b"\n".join(raw)
+        hashes, starts, _ = words_of(joined)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        begins = np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(hashes))
+        breaks = np.searchsorted(starts, np.flatnonzero(np.frombuffer(joined, np.uint8) == 10))
+        return cls(hashes, shingles_of(hashes), begins, breaks)
+
+    def lines(self) -> np.ndarray:
+        """(first word, end) of lines, and of blocks of several lines between blank ones, of at least MIN_LINE words; in order."""
+        ends, times = np.unique(self.breaks, return_counts=True)
+        cuts = [np.unique(np.concatenate((inner, self.begins))) for inner in (ends, ends[times > 1])]
+        found = np.unique(np.concatenate([np.column_stack((c[:-1], c[1:])) for c in cuts]), axis=0)
+        return found[found[:, 1] - found[:, 0] >= MIN_LINE]
+
+    def anchors(self) -> np.ndarray:
+        """Where content-defined paragraphs begin."""
+        bounds = np.column_stack((self.begins[:-1], self.begins[1:] - SHINGLE + 1))  # of each text's shingles
+        least, n = WORDS - SHINGLE + 1, len(self.shingles)
+        found = [np.empty(0, np.int64)]
+        for a, b in bounds[(bounds[:, 1] - bounds[:, 0] >= least) & (bounds[:, 1] - bounds[:, 0] < WINNOW)].tolist():
+            found.append(np.array([a + int(self.shingles[a:b].argmin())]))
+        inside = np.zeros(max(n - WINNOW + 1, 0) + 1, np.int8)  # windows that lie in one text
+        long = bounds[bounds[:, 1] - bounds[:, 0] >= WINNOW]
+        np.add.at(inside, long[:, 0], 1)
+        np.add.at(inside, long[:, 1] - WINNOW + 1, -1)
+        windows = np.flatnonzero(np.cumsum(inside[:-1]))
+        for i in range(0, n - WINNOW + 1, _PART):
+            part = self.shingles[i : i + _PART + WINNOW - 1]
+            lows = np.lib.stride_tricks.sliding_window_view(part, WINNOW).argmin(axis=1)
+            own = windows[np.searchsorted(windows, i) : np.searchsorted(windows, i + len(lows))]
+            found.append(np.unique(lows[own - i] + own))
+        places = np.unique(np.concatenate(found))
+        return places[places + least <= self.begins[self.text_of(places) + 1] - SHINGLE + 1]
+
+    def text_of(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins[:-1], words, side="right") - 1
+
+
+def together(b: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about TOGETHER bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, side="right")))
+        yield b.slice(at, end - at)
+        at = end
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """One row per paragraph: kind 0, content-defined, or 1, a line or block, with its band keys and distinct shingles (32 bits of each)."""
+    """One row per paragraph: kind 0, content-defined, or 1, a line or block, with its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024))):
-            kind, ids, of, first, size, keys, sets = [], [], [], [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                hashes, starts, _ = words_of(raw)
-                sh = shingles_of(hashes)
-                places = anchors(sh)
-                if len(places):
-                    ids += paragraph_ids(sh, places).view(np.int64).tolist()
-                    first += places.tolist()
-                    k = len(places)
-                    kind += [0] * k
-                    of += [doc] * k
-                    size += [WORDS] * k
-                    keys += [None] * k
-                    sets += [None] * k
-                lines = lines_of(raw, starts)
-                if lines:
-                    bounds = np.array(lines) - [0, SHINGLE - 1]
-                    ids += line_ids(sh, bounds).view(np.int64).tolist()
-                    keys += band_keys(sh, bounds).view(np.int64).tolist()
-                    low = sh.astype(np.uint32).view(np.int32)
-                    sets += [np.unique(low[a:b]) for a, b in bounds.tolist()]
-                    k = len(lines)
-                    kind += [1] * k
-                    of += [doc] * k
-                    first += [a for a, _ in lines]
-                    size += [e - a for a, e in lines]
-            arrays = [pa.array(kind, pa.int8()), pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["kind", "id", "doc_id", "first", "size", "keys", "shingles"])
+        for b in (part for whole in batches for part in together(whole)):
+            texts = Texts.of(b.column("text").to_pylist())
+            places, lines = texts.anchors(), texts.lines()
+            bounds = lines - [0, SHINGLE - 1]
+            ids = [np.empty(0, np.uint64)]
+            keys = np.empty(0, np.uint64)
+            if len(places):
+                ids.append(paragraph_ids(texts.shingles, places))
+            if len(lines):
+                ids.append(line_ids(texts.shingles, bounds))
+                keys = band_keys(texts.shingles, bounds).ravel()
+            first = np.concatenate((places, lines[:, 0]))
+            of = texts.text_of(first)
+            size = np.concatenate((np.full(len(places), WORDS), lines[:, 1] - lines[:, 0]))
+            kind = np.repeat(np.array([0, 1], np.int8), [len(places), len(lines)])
+            offsets = np.concatenate(([0], np.cumsum(kind.astype(np.int32) * BANDS)))
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)), mask=pa.array(kind == 0))
+            arrays = [pa.array(kind), pa.array(np.concatenate(ids).view(np.int64)), b.column("doc_id").take(pa.array(of)), pa.array((first - texts.begins[of]).astype(np.int32)), pa.array(size.astype(np.int32)), keys]
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "id", "doc_id", "first", "size", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, _SCHEMA)
 
 
-def line_links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, shingles) of the lines (doc_id, first, size, id) in ``places``: the distinct five-word shingles, 64 bits of each. A row for each of ``docs`` that has the line there."""
+    own = places.groupBy("doc_id").agg(F.collect_list(F.struct("first", "size", "id")).alias("places"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(own, "doc_id").select("text", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128))):
+            ids, sets = [], []
+            for text, lines in zip(b.column("text").to_pylist(), b.column("places").to_pylist()):
+                hashes, _, _ = words_of((text or "").encode("utf-8", "surrogatepass"))
+                sh = shingles_of(hashes)
+                for first, size, own_id in (tuple(x.values()) for x in lines):
+                    if _has(hashes, sh, 1, own_id, first, size):
+                        ids.append(own_id)
+                        sets.append(np.unique(sh[first : first + size - SHINGLE + 1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles array<long>")
+
+
+def line_links(lines: DataFrame, similarity: float = SIMILARITY, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(src, dst) of line ids: links whose components are those of all pairs that share a band and whose exact similarity suffices."""
-    return similar_links(lines.select("id", "keys", "shingles"), similarity)
+    return similar_links(lines, similarity, sets_of=sets_of)
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -196,13 +247,20 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first + size of doc_id; removed is False in the keeping document.
     """
     table, _ = write_table(paragraphs(docs), "paragraphs")
-    lines = table.where("kind = 1")
-    components = connected_components(line_links(lines, similarity))
-    near = lines.select("id", "doc_id", "first", "size").join(components.withColumnRenamed("node", "id"), "id", "left")
+    occurrences = table.where("kind = 1").select("id", "doc_id", "first", "size", "keys")
+    lines, _ = write_table(occurrences.groupBy("id").agg(F.min(F.struct("doc_id", "first", "size")).alias("at"), F.any_value("keys").alias("keys")), "lines")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return line_sets(docs, lines.join(wanted, "id", "left_semi").select("id", "at.*"))
+
+    components = connected_components(line_links(lines.select("id", "keys"), similarity, sets_of))
+    near = occurrences.drop("keys").join(components.withColumnRenamed("node", "id"), "id", "left")
     near = near.select(F.lit(1).cast("tinyint").alias("kind"), "id", F.coalesce("component", "id").alias("component_id"), "doc_id", "first", "size")
     every = table.where("kind = 0").select("kind", "id", F.col("id").alias("component_id"), "doc_id", "first", "size").union(near)
     classes = every.groupBy("kind", "component_id").agg(F.min(F.struct("doc_id", "first")).alias("kept"), F.max("doc_id").alias("last")).where("kept.doc_id <> last")
-    found = every.join(classes.select("kind", "component_id", "kept"), ["kind", "component_id"])
+    # as a table, so that both sides of the join are shuffled for it alone and occurrences of one common class may be split
+    classes, _ = write_table(classes.select("kind", "component_id", "kept"), "classes")
+    found = every.join(classes, ["kind", "component_id"])
     return found.select("doc_id", "kind", "first", "size", "id", "component_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.first").alias("kept_first"), (F.col("doc_id") != F.col("kept.doc_id")).alias("removed"))
 
 
@@ -237,16 +295,21 @@ def _has(hashes: np.ndarray, shingles: np.ndarray, kind: int, own: int, first: i
 
 
 def cut_text(text: str, spans: list[tuple[int, int, int, int, list[int] | None, list[int] | None]]) -> str:
-    """The text without the spans (kind, id, first, size, kept words before, kept words after) whose words still have their hash, each as far as the words around agree with the kept ones."""
+    """The text without the spans (kind, id, first, size, kept words before, kept words from there on) whose words still have their hash and, of kind 0, are the kept words; each as far as the words around agree with the kept ones."""
     raw = text.encode("utf-8", "surrogatepass")
     hashes, starts, ends = words_of(raw)
     sh, low = shingles_of(hashes), _words32(hashes)
     good = []
     for kind, own, first, size, before, after in spans:
-        if _has(hashes, sh, kind, own, first, size):
-            end = first + size
+        if not _has(hashes, sh, kind, own, first, size):
+            continue
+        if kind:
+            good.append((first, first + size))
+            continue
+        right = _agree(low[first : first + size + REACH], np.array(after or [], np.int32))
+        if right >= size:
             left = _agree(low[max(first - REACH, 0) : first][::-1], np.array(before or [], np.int32)[::-1])
-            good.append((first - left, end + _agree(low[end : end + REACH], np.array(after or [], np.int32))))
+            good.append((first - left, first + right))
     parts, at = [], 0
     for a, b in merge_spans(good):
         parts.append(raw[at : starts[a]])
@@ -256,7 +319,7 @@ def cut_text(text: str, spans: list[tuple[int, int, int, int, list[int] | None,
 
 
 def kept_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(kept_doc_id, kept_first, id, before, after): REACH words (32 bits of their hashes) around each kept occurrence of a content-defined paragraph."""
+    """(kept_doc_id, kept_first, id, before, after): the words (32 bits of their hashes) of each kept occurrence of a content-defined paragraph and REACH words around it; ``before`` are those before, ``after`` the others."""
     places = spans.where("kind = 0").select("kept_doc_id", "kept_first", "id").distinct()
     places = places.groupBy("kept_doc_id").agg(F.collect_list(F.struct("kept_first", "id")).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long").alias("kept_doc_id"), "text").join(places, "kept_doc_id")
@@ -273,7 +336,7 @@ def kept_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
                         at.append(first)
                         ids.append(ident)
                         before.append(low[max(first - REACH, 0) : first])
-                        after.append(low[first + WORDS : first + WORDS + REACH])
+                        after.append(low[first : first + WORDS + REACH])
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(at, pa.int32()), pa.array(ids, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32()))], ["kept_doc_id", "kept_first", "id", "before", "after"])
 
     found = texts.select("kept_doc_id", "text", "places").mapInArrow(run, "kept_doc_id long, kept_first int, id long, before array<int>, after array<int>")
@@ -283,23 +346,25 @@ def kept_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated paragraphs cut from ``text`` (and ``n_chars``, if there is one, counted anew). Every row stays unless nothing but white space is left of it."""
+    own = free_name(docs, "__spans")
     lost, _ = write_table(repeats(docs, similarity).where("removed").select("doc_id", "kind", "id", "first", "size", "kept_doc_id", "kept_first"), "lost")
-    around = lost.where("kind = 0").join(kept_words(docs, lost), ["kept_doc_id", "kept_first", "id"], "left").select("doc_id", "kind", "id", "first", "size", "before", "after")
+    kept, _ = write_table(kept_words(docs, lost), "kept")
+    around = lost.where("kind = 0").join(kept, ["kept_doc_id", "kept_first", "id"], "left").select("doc_id", "kind", "id", "first", "size", "before", "after")
     nothing = F.lit(None).cast("array<int>")
     spans = around.union(lost.where("kind = 1").select("doc_id", "kind", "id", "first", "size", nothing, nothing))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "id", "first", "size", "before", "after")).alias("__spans"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "id", "first", "size", "before", "after")).alias(own))
     spans, _ = write_table(spans, "spans")
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans")
+    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, own)
     text_at, schema = docs.columns.index("text"), T.StructType(list(docs.schema.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(text_at).to_pylist()
             cut, gone = [], []
-            for text, own in zip(texts, b.column(b.num_columns - 1).to_pylist()):
-                new = cut_text(text, [tuple(s.values()) for s in own]) if own and text else text
+            for text, found in zip(texts, b.column(b.num_columns - 1).to_pylist()):
+                new = cut_text(text, [tuple(s.values()) for s in found]) if found and text else text
                 cut.append(new)
-                gone.append(bool(own) and new is not None and not new.strip())
+                gone.append(bool(found) and new is not None and not new.strip())
             columns = list(b.columns[:-1])
             columns[text_at] = pa.array(cut, columns[text_at].type)
             kept = pa.array([not g for g in gone])

@@ -510,3 +510,43 @@ def test_ordinal_gradient_fits_by_likelihood():
     assert np.corrcoef(rank(tails.sum(axis=1)), rank(s[700:]))[0, 1] > 0.7
     below = lambda m, f, k: 1 / (1 + np.exp(-(m.thresholds[k] - m.weights[f].sum() / quality.scale(len(f)))))
     assert np.allclose(tails, [[1 - below(model, f, k) for k in (0, 1)] for f in x[700:]])
+
+
+def test_substring_recall_of_near_lines(spark):
+    rng = random.Random(20)
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, pairs = [], []
+    for k in range(90):
+        words = [f"{rng.getrandbits(30):x}" for _ in range(rng.randrange(30, 120))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), rng.randrange(0, 4)):
+            other[at] = "edited" + str(rng.random())
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = sets(rows[-2][1]), sets(rows[-1][1])
+        pairs.append((2 * k, len(a & b) / len(a | b)))
+    rows += [(500, rows[0][1]), (501, "\n\n".join([rows[2][1], "z " * 900_000])), (501, rows[4][1])]
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 1 and removed").select("doc_id", "kept_doc_id").distinct().collect()
+    got = {(r["kept_doc_id"], r["doc_id"]) for r in found}
+    near = {(a, a + 1) for a, s in pairs if s >= 0.8}
+    assert len(near) > 40 and len(near & got) >= 0.9 * len(near)
+    assert got - {(0, 500), (2, 501), (4, 501), (0, 1), (2, 3), (4, 5)} <= near
+
+
+def test_rows_without_or_with_equal_ids(spark):
+    rows = [(None, "no id here"), (3, "b b b"), (3, "a a"), (1, None), (3, "b b b"), (None, None), (2, "no id here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tok, _ = library(BYTE_BPE, df)
+    shards = token_output.write_tokens(df, scratch_path(spark, "t"), BYTE_BPE, 0)
+    got = sorted(token_output.read_tokens(spark, shards).collect(), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert ids == [None, None, 1, 2, 3, 3, 3] and [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    want = sorted((d is not None, d or 0, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for d, t in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["ids"])) for r in got) == want
+    classes_ = simhash.simhash_classes(df).collect()
+    assert len(classes_) == 7 and {r["component_id"] for r in classes_ if r["fp"] == classes_[0]["fp"]} != {None}
+    same = {r["component_id"] for r in classes_ if r["doc_id"] == 2}
+    assert same == {2}
+    near = {(r["doc_id"], r["component_id"]) for r in simhash.near_classes(df).collect()}
+    assert (2, 2) in near and (None, None) in near
+    turns = spark.createDataFrame([(None, None, "user", "hi"), (None, 1, None, None), (4, 1, "user", "hi"), (4, 1, "user", "hi")], "conv_id long, turn long, role string, text string")
+    assert {(r["conv_id"], r["n_turns"]) for r in chat.render(turns).collect()} == {(None, 2), (4, 2)}
