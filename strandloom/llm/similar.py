@@ -3,9 +3,9 @@
 Items have an id, bucket keys and a set of shingles, kept apart; a pair is linked if its exact Jaccard similarity
 suffices. Small buckets are compared in full. In larger ones all members are compared with one of
 them, the star, and those that are not linked with another one, ``ROUNDS`` times. What these links make one component needs no
-further link. Members of a bucket that are in different components even then are compared, unless their distances to the
-bucket's first star tell that they are too far from each other: Jaccard distance is a metric. So the components are those of all
-pairs, and the number of comparisons grows with the members, but for what collides without being similar.
+further link. Members of a bucket that are in different components even then are compared in tiles of bounded size, whose
+links alone leave them. So the components are those of all pairs. What collides without being similar is still compared
+with all of its bucket.
 """
 
 from __future__ import annotations
@@ -75,20 +75,79 @@ def _pairs(crowds: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
 
 
-def _apart(members: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (src, dst) of a bucket in different components that may be similar still. members: (key, id, n, d), d their distances to one of the bucket.
-
-    Most members of a bucket are in one component by now, its home; pairs are made of the others with all that are not in their own component.
+#: Members of either side of a tile.
+TILE = 4096
+_COLUMNS = 2048
+
+
+def _columns(rows: np.ndarray, values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in ``common``) of the values that are there, by place."""
+    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+    kept = common[at] == values
+    order = np.argsort(at[kept], kind="stable")
+    return rows[kept][order], at[kept][order]
+
+
+def _in_common(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by products of presence matrices."""
+    (rx, vx), (ry, vy) = ((np.repeat(np.arange(len(c)), pc.list_value_length(c).to_numpy()), c.flatten().to_numpy()) for c in (x, y))
+    common = np.intersect1d(vx, vy)
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not len(common):
+        return out
+    (rx, vx), (ry, vy) = _columns(rx, vx, common), _columns(ry, vy, common)
+    for begin in range(0, len(common), _COLUMNS):
+        parts = []
+        for r, v, n in ((rx, vx, len(x)), (ry, vy, len(y))):
+            i, j = np.searchsorted(v, (begin, begin + _COLUMNS))
+            part = np.zeros((n, min(_COLUMNS, len(common) - begin)), np.float32)
+            part[r[i:j], v[i:j] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _links_in_tile(similarity: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        other = t.column("other").to_numpy().astype(bool)
+        a, b = t.filter(pa.array(other)), t.filter(pa.array(~other))
+        src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if a.num_rows and b.num_rows:
+            x, y = (c.column("s").combine_chunks() for c in (a, b))
+            if isinstance(x, pa.ChunkedArray):
+                x, y = x.chunk(0), y.chunk(0)
+            n, m = (pc.list_value_length(c).to_numpy().astype(np.float64) for c in (x, y))
+            ca, cb, ia, ib = a.column("component").to_numpy(), b.column("component").to_numpy(), a.column("id").to_numpy(), b.column("id").to_numpy()
+            for i in range(0, len(x), 512):
+                both = _in_common(x.slice(i, 512), y).astype(np.float64)  # whole numbers, so exact
+                near = (both >= similarity * (n[i : i + 512, None] + m[None, :] - both)) & (ca[i : i + 512, None] != cb[None, :])
+                p, q = np.nonzero(near)
+                # one link for two components is enough
+                _, first = np.unique(np.column_stack((ca[i + p], cb[q])), axis=0, return_index=True)
+                src.append(ia[i + p[first]])
+                dst.append(ib[q[first]])
+        return pa.table({"src": pa.array(np.concatenate(src)), "dst": pa.array(np.concatenate(dst))})
+
+    return run
+
+
+def _apart(members: DataFrame, components: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of similar pairs of a bucket in different components, at least one for two components that have any in a tile.
+
+    Most members of a bucket are in one component by now, its home; the others meet all members, in tiles of at most about TILE of either.
+    A tile compares by a product of matrices and gives links alone, so no pair is a row.
     """
     own = members.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    homes = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("home"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    homes, _ = write_table(homes.select("key", "home"), "homes")
+    homes = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("home"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("m"), F.max("c").alias("at_home")).where("parts > 1")
+    homes, _ = write_table(homes.select("key", "home", F.ceil(F.col("m") / TILE).cast("int").alias("pm"), F.ceil((F.col("m") - F.col("at_home")) / TILE).cast("int").alias("po")), "homes")
     own, _ = write_table(own.join(homes, "key"), "apart")
-    a, b = own.where("component <> home").alias("a"), own.alias("b")
-    near = (F.col("a.component") != F.col("b.component")) & (F.abs(F.col("a.d") - F.col("b.d")) <= 1 - similarity + 1e-9) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & near & ((F.col("b.component") == F.col("b.home")) | (F.col("a.id") < F.col("b.id"))))
-    return met.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = own.where("component <> home").select("key", "id", "component", F.lit(True).alias("other"), part("po").alias("i"), every("pm").alias("j"))
+    b = own.select("key", "id", "component", F.lit(False).alias("other"), every("po").alias("i"), part("pm").alias("j"))
+    return a.union(b).join(sets.select("id", "s"), "id").groupBy("key", "i", "j").applyInArrow(_links_in_tile(similarity), "src long, dst long")
 
 
 def similar_links(items: DataFrame, similarity: float, dense: int = DENSE, rounds: int = ROUNDS, *, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -106,18 +165,15 @@ def similar_links(items: DataFrame, similarity: float, dense: int = DENSE, round
     links = [_measured(_pairs(small, similarity), sets, similarity).where("linked").select("src", "dst")]
     if large.isEmpty():
         return links[0]
-    left, first = large, None
+    left = large
     for _ in range(rounds):
         stars = left.where("id <> star").select(F.col("star").alias("src"), F.col("id").alias("dst")).distinct()
         told, _ = write_table(_measured(stars, sets, similarity).distinct(), "stars")
         links.append(told.where("linked").select("src", "dst"))
         seen = left.join(told, (F.col("star") == F.col("src")) & (F.col("id") == F.col("dst"))).select("key", "id", "n", "linked", "d")
-        if first is None:
-            first = seen.select("key", "id", "n", "d").union(large.where("id = star").select("key", "id", "n", F.lit(0.0)))
-            first, _ = write_table(first, "first")
         left, _ = write_table(_crowds(seen.where("not linked").select("key", "id", "n")), "buckets")
         if left.isEmpty():
             break
     told, _ = write_table(reduce(DataFrame.union, links).distinct(), "links")
-    apart = _measured(_apart(first, connected_components(told), similarity), sets, similarity)
-    return told.union(apart.where("linked").select("src", "dst"))
+    apart, _ = write_table(_apart(large.select("key", "id"), connected_components(told), sets, similarity), "apart")
+    return told.union(apart)
