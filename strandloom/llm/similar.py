@@ -177,3 +177,25 @@ def similar_links(items: DataFrame, similarity: float, dense: int = DENSE, round
     told, _ = write_table(reduce(DataFrame.union, links).distinct(), "links")
     apart, _ = write_table(_apart(large.select("key", "id"), connected_components(told), sets, similarity), "apart")
     return told.union(apart)
+
+
+def links_between(items: DataFrame, components: DataFrame, similarity: float, radius: int, sets_of: Callable[[DataFrame], DataFrame], dense: int = DENSE) -> DataFrame:
+    """(id, n, fp, keys) and (node, component) -> (src, dst) links between components: those of all pairs that share a key and are similar.
+
+    ``n`` is the size of an id's set and ``fp`` its fingerprint, an array of longs. In buckets of few members, pairs whose fingerprints differ in more than ``radius`` bits are
+    discarded before their sets are read; larger buckets are compared in tiles.
+    """
+    # a text has many keys and most of them alone, so only what meets takes its fingerprint along
+    members = _met(items).join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    own, _ = write_table(members.join(sizes.select("key", "m"), "key").join(items.select("id", "n", "fp"), "id"), "between")
+    a, b = own.where(F.col("m") <= dense).alias("a"), own.where(F.col("m") <= dense).alias("b")
+    bits = F.aggregate(F.zip_with("a.fp", "b.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")))
+    met = met.where(F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")).where(bits <= radius)
+    pairs, _ = write_table(met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct(), "pairs")
+    large = own.where(F.col("m") > dense).select("key", "id")
+    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).union(large.select("id")).distinct()
+    sets, _ = write_table(sets_of(wanted).select("id", F.col("shingles").alias("s")), "sets")
+    links = _measured(pairs, sets, similarity).where("linked").select("src", "dst")
+    return links if large.isEmpty() else links.union(_apart(large, components, sets, similarity))

@@ -50,7 +50,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
@@ -58,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=16)
 def _numbers(n: int, seed: int) -> np.ndarray:
-    return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(seed * 2 + 1) + np.uint64(seed)) | np.uint64(1)
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(seed * 2 + 1) + np.uint64(seed)) | np.uint64(1)
 
 
 _powers: list[np.ndarray] = []
@@ -86,7 +86,7 @@ def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data[starts[k] : ends[last - 1]].astype(np.uint64) + np.uint64(1)) * up[: b[-1]], dtype=np.uint64)))
         hashes[k:last] = (sums[b] - sums[a]) * down[a]
         k = last
-    return _mix(hashes), starts, ends
+    return mix(hashes), starts, ends
 
 
 def shingles_of(hashes: np.ndarray) -> np.ndarray:
@@ -96,14 +96,14 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j, c in enumerate(_numbers(SHINGLE, 1)):
         out += hashes[j : j + n] * c
-    return _mix(out)
+    return mix(out)
 
 
 def paragraph_ids(shingles: np.ndarray, places: np.ndarray) -> np.ndarray:
     """A 64-bit id of the WORDS words at each place."""
     m = WORDS - SHINGLE + 1
     rows = shingles[places[:, None] + np.arange(m)]
-    return _mix((rows * _numbers(m, 2)).sum(axis=1, dtype=np.uint64))
+    return mix((rows * _numbers(m, 2)).sum(axis=1, dtype=np.uint64))
 
 
 def _segments(values: np.ufunc, of: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -113,14 +113,14 @@ def _segments(values: np.ufunc, of: np.ndarray, bounds: np.ndarray) -> np.ndarra
 
 def line_ids(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit id of each line, given the bounds of its shingles."""
-    return _mix(_segments(np.add, _mix(shingles + np.uint64(9)), bounds) + (bounds[:, 1] - bounds[:, 0]).astype(np.uint64))
+    return mix(_segments(np.add, mix(shingles + np.uint64(9)), bounds) + (bounds[:, 1] - bounds[:, 0]).astype(np.uint64))
 
 
 def band_keys(shingles: np.ndarray, bounds: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """Lines x bands: a hash of each band's smallest values under ROWS orders."""
     lows = np.array([_segments(np.minimum, (shingles ^ m) * m, bounds) for m in _numbers(bands * ROWS, 3)], np.uint64)
     rows = lows.T.reshape(len(bounds), bands, ROWS)
-    return _mix((rows * _numbers(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+    return mix((rows * _numbers(ROWS, 4)).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 _SCHEMA = "kind tinyint, id long, doc_id long, first int, size int, keys array<long>"

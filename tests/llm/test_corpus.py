@@ -92,6 +92,37 @@ def test_similar_dedup(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(classes(len(sets), links))
 
 
+def test_pivots_find_what_no_band_does(spark):
+    rng = np.random.default_rng(31)
+    pairs = []
+    while len(pairs) < 8:
+        words = [f"w{i:x}" for i in rng.integers(1 << 40, size=67)]
+        texts = [" ".join(words[:64]), " ".join([*words[:30], "other", *words[31:]])]  # 55 shingles of 68 in common
+        sets = [simhash._near_shingles(t) for t in texts]
+        bands = [substrings.band_keys(s, np.array([[0, len(s)]]), simhash.NEAR_BANDS)[0] for s in sets]
+        if not np.isin(*bands).any():
+            pairs.append(texts)
+    rows = [t for pair in pairs for t in pair]
+    kept = {r["doc_id"] for r in simhash.similar_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert {2 * i for i in range(8)} <= kept and len(kept) <= 8 + 2  # a pair meets with probability 0.9
+
+
+@pytest.mark.parametrize("dense", [1, 4, 1000])
+def test_pivot_links_between_components(spark, dense):
+    rng = random.Random(32)
+    sets = [sorted({rng.getrandbits(62) for _ in range(60)}) for _ in range(3)]
+    sets += [sorted([*s[: 60 - cut], *(rng.getrandbits(62) for _ in range(cut))]) for s in sets for cut in (2, 4, 6, 20)]
+    rows = [(i, len(s), np.packbits(simhash._votes(np.array(s, np.uint64)) > 0).view(np.int64).tolist(), [i % 2, 7], s) for i, s in enumerate(sets)]
+    items = spark.createDataFrame(rows, "id long, n int, fp array<long>, keys array<int>, shingles array<long>")
+    near = lambda a, b: len({*a} & {*b}) >= 0.8 * len({*a} | {*b})
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    known = connected_components(spark.createDataFrame(links[:2], "src long, dst long"))
+    found = similar.links_between(items.drop("shingles"), known, 0.8, simhash.NEAR_RADIUS, lambda wanted: items.join(wanted, "id").select("id", "shingles"), dense)
+    got = [(r["src"], r["dst"]) for r in found.collect()]
+    assert all(near(sets[a], sets[b]) for a, b in got)
+    assert classes(len(sets), got + links[:2]) == classes(len(sets), links)
+
+
 @pytest.mark.parametrize("dense", [1, 4, 1000])
 def test_simhash_links_lose_none(spark, dense):
     rng = random.Random(3)
