@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: dict[str, SparkSession] = {}
+_own = threading.local()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -35,9 +39,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         atexit.register(_forget_all)
     path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
     _made[path] = spark
+    for paths in getattr(_own, "open", ()):
+        paths.add(path)
     return path
 
 
+@contextmanager
+def scratch_of_thread() -> Iterator[set[str]]:
+    """The paths that ``scratch_path`` gives this thread meanwhile; other threads' tables are none of them."""
+    paths: set[str] = set()
+    _own.open = [*getattr(_own, "open", ()), paths]
+    try:
+        yield paths
+    finally:
+        _own.open = [p for p in _own.open if p is not paths]
+
+
 def scratch_paths() -> set[str]:
     return set(_made)
 

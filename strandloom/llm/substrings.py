@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import connected_components, free_name, write_table
+from strandloom.llm.common import connected_components, free_name, remove_path, scratch_of_thread, write_table
 from strandloom.llm.similar import similar_links
 
 SHINGLE = 5
@@ -45,6 +45,10 @@ MIN_LINE = SHINGLE
 BANDS, ROWS = 5, 3
 REACH = WINNOW + SHINGLE
 SIMILARITY = 0.8
+#: Words of a kept document whose paragraphs are looked up together.
+CHUNK = 128
+#: Runs of one chunk that are joined to its words by a shuffle; those of more common ones get them broadcast.
+CROWD = 512
 _PART = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -318,42 +322,86 @@ def cut_text(text: str, spans: list[tuple[int, int, int, int, list[int] | None,
     return b"".join(parts).decode("utf-8", "surrogatepass")
 
 
+def runs_of(spans: DataFrame) -> DataFrame:
+    """(doc_id, kept_doc_id, chunk, places): content-defined paragraphs that a document lost, those of one copied passage in one row.
+
+    They lie as far apart there as in the kept document and begin in the same ``CHUNK`` words of it; ``places`` has their (first, kept_first, id).
+    """
+    of = F.floor(F.col("kept_first") / CHUNK).cast("int")
+    own = spans.where("kind = 0").select("doc_id", "kept_doc_id", of.alias("chunk"), (F.col("first") - F.col("kept_first")).alias("shift"), "first", "kept_first", "id")
+    return own.groupBy("doc_id", "kept_doc_id", "chunk", "shift").agg(F.collect_list(F.struct("first", "kept_first", "id")).alias("places")).drop("shift")
+
+
 def kept_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(kept_doc_id, kept_first, id, before, after): the words (32 bits of their hashes) of each kept occurrence of a content-defined paragraph and REACH words around it; ``before`` are those before, ``after`` the others."""
+    """(kept_doc_id, chunk, begin, words): the words (32 bits of their hashes) of kept documents from ``begin`` on that lie within REACH of the content-defined paragraphs beginning in a chunk.
+
+    Rows that share a doc_id give a row each where they have a paragraph that no smaller one of them has.
+    """
     places = spans.where("kind = 0").select("kept_doc_id", "kept_first", "id").distinct()
     places = places.groupBy("kept_doc_id").agg(F.collect_list(F.struct("kept_first", "id")).alias("places"))
     texts = docs.select(F.col("doc_id").cast("long").alias("kept_doc_id"), "text").join(places, "kept_doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))):
-            of, at, ids, before, after = [], [], [], [], []
+            of, chunks, begins, words, ids = [], [], [], [], []
             for doc, text, own in zip(b.column("kept_doc_id").to_pylist(), b.column("text").to_pylist(), b.column("places").to_pylist()):
                 hashes, _, _ = words_of((text or "").encode("utf-8", "surrogatepass"))
                 sh, low = shingles_of(hashes), _words32(hashes)
-                for first, ident in (tuple(x.values()) for x in own):
+                found: dict[int, list[tuple[int, int]]] = {}
+                for first, ident in sorted(tuple(x.values()) for x in own):
                     if _has(hashes, sh, 0, ident, first, WORDS):
-                        of.append(doc)
-                        at.append(first)
-                        ids.append(ident)
-                        before.append(low[max(first - REACH, 0) : first])
-                        after.append(low[first : first + WORDS + REACH])
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(at, pa.int32()), pa.array(ids, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32()))], ["kept_doc_id", "kept_first", "id", "before", "after"])
-
-    found = texts.select("kept_doc_id", "text", "places").mapInArrow(run, "kept_doc_id long, kept_first int, id long, before array<int>, after array<int>")
-    # rows that share a doc_id may hold the same place
-    return found.groupBy("kept_doc_id", "kept_first", "id").agg(F.min(F.struct("before", "after")).alias("w")).select("kept_doc_id", "kept_first", "id", "w.before", "w.after")
+                        found.setdefault(first // CHUNK, []).append((first, ident))
+                for chunk, there in found.items():
+                    begin = max(there[0][0] - REACH, 0)
+                    of.append(doc)
+                    chunks.append(chunk)
+                    begins.append(begin)
+                    words.append(low[begin : there[-1][0] + WORDS + REACH])
+                    ids.append([i for _, i in there])
+            arrays = [pa.array(of, pa.int64()), pa.array(chunks, pa.int32()), pa.array(begins, pa.int32()), pa.array(words, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["kept_doc_id", "chunk", "begin", "words", "ids"])
+
+    table = texts.select("kept_doc_id", "text", "places").mapInArrow(run, "kept_doc_id long, chunk int, begin int, words array<int>, ids array<long>")
+    # rows that share a doc_id may hold the same places, and many of them nearly the same: no more are kept than there are paragraphs
+    table, _ = write_table(table.withColumn("w", F.xxhash64("begin", "words")), "words")
+    least = table.select("kept_doc_id", "chunk", "w", F.explode("ids").alias("id")).groupBy("kept_doc_id", "chunk", "id").agg(F.min("w").alias("w"))
+    least = least.select("kept_doc_id", "chunk", "w").distinct()
+    return table.join(least, ["kept_doc_id", "chunk", "w"], "left_semi").groupBy("kept_doc_id", "chunk", "w").agg(F.min(F.struct("begin", "words")).alias("x")).select("kept_doc_id", "chunk", "x.begin", "x.words")
+
+
+def _spans_of(lines: list[dict] | None, runs: list[dict] | None) -> list[tuple]:
+    """What ``cut_text`` takes, of the lines and runs of one document."""
+    spans: list[tuple] = [(1, x["id"], x["first"], x["size"], None, None) for x in lines or []]
+    for run in runs or []:
+        for place in run["places"]:
+            at = place["kept_first"] - run["begin"]
+            if at >= 0:
+                spans.append((0, place["id"], place["first"], WORDS, run["words"][max(at - REACH, 0) : at], run["words"][at : at + WORDS + REACH]))
+    return spans
 
 
 def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated paragraphs cut from ``text`` (and ``n_chars``, if there is one, counted anew). Every row stays unless nothing but white space is left of it."""
     own = free_name(docs, "__spans")
-    lost, _ = write_table(repeats(docs, similarity).where("removed").select("doc_id", "kind", "id", "first", "size", "kept_doc_id", "kept_first"), "lost")
+    with scratch_of_thread() as made:
+        lost, path = write_table(repeats(docs, similarity).where("removed").select("doc_id", "kind", "id", "first", "size", "kept_doc_id", "kept_first"), "lost")
+    for old in made - {path}:  # nothing reads the tables of the search again
+        remove_path(docs.sparkSession, old)
     kept, _ = write_table(kept_words(docs, lost), "kept")
-    around = lost.where("kind = 0").join(kept, ["kept_doc_id", "kept_first", "id"], "left").select("doc_id", "kind", "id", "first", "size", "before", "after")
-    nothing = F.lit(None).cast("array<int>")
-    spans = around.union(lost.where("kind = 1").select("doc_id", "kind", "id", "first", "size", nothing, nothing))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "id", "first", "size", "before", "after")).alias(own))
-    spans, _ = write_table(spans, "spans")
+    runs, _ = write_table(runs_of(lost), "runs")
+    place = ["kept_doc_id", "chunk"]
+    # one in CROWD runs at most is a row of this, so its words can go to all tasks and no task gets all runs of a common passage
+    crowds = F.broadcast(runs.groupBy(*place).count().where(F.col("count") > CROWD).select(*place))
+    met = runs.join(crowds, place, "left_anti").join(kept, place).union(runs.join(F.broadcast(kept.join(crowds, place, "left_semi")), place))
+    # the words that a run needs are cut out of its chunk's before they are shuffled
+    ends = F.transform("places", lambda p: p["kept_first"])
+    start = F.greatest(F.array_min(ends) - REACH, F.col("begin"))
+    around = met.withColumn("start", start).withColumn("n", F.array_max(ends) + WORDS + REACH - F.col("start"))
+    run_of = F.struct("places", F.col("start").alias("begin"), F.expr("slice(words, start - begin + 1, greatest(n, 0))").alias("words"))
+    lines = lost.where("kind = 1").select("doc_id", F.struct("id", "first", "size").alias("line"), F.lit(None).alias("run"))
+    spans = lines.union(around.select("doc_id", F.lit(None).alias("line"), run_of.alias("run")))
+    # collect_list leaves nulls out
+    spans, _ = write_table(spans.groupBy("doc_id").agg(F.struct(F.collect_list("line").alias("lines"), F.collect_list("run").alias("runs")).alias(own)), "spans")
     joined = docs.join(spans, "doc_id", "left").select(*docs.columns, own)
     text_at, schema = docs.columns.index("text"), T.StructType(list(docs.schema.fields))
 
@@ -362,7 +410,7 @@ def remove_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             texts = b.column(text_at).to_pylist()
             cut, gone = [], []
             for text, found in zip(texts, b.column(b.num_columns - 1).to_pylist()):
-                new = cut_text(text, [tuple(s.values()) for s in found]) if found and text else text
+                new = cut_text(text, _spans_of(found["lines"], found["runs"])) if found and text else text
                 cut.append(new)
                 gone.append(bool(found) and new is not None and not new.strip())
             columns = list(b.columns[:-1])

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strandloom.llm import bpe, chat, embeddings, gif, langid, packing, quality, similar, simhash, substrings, token_output, tokens
-from strandloom.llm.common import connected_components, scratch_path
+from strandloom.llm.common import connected_components, scratch_path, scratch_paths
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, `h` int"
@@ -337,6 +337,34 @@ def test_passages_go_to_their_ends(spark):
     assert [" ".join(out[i].split()) for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_common_passage_is_one_row_a_document(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd, raising=False)
+    rng = random.Random(33)
+    own = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    passage, begins = own(110), [rng.randrange(5, 50) for _ in range(40)]
+    own_words = [own(60) for _ in begins]
+    rows = [(i, " ".join([*w[:at], *passage, *w[at:]])) for i, (w, at) in enumerate(zip(own_words, begins))]
+    rows += [(0, " ".join(own(80))), (0, rows[0][1])]  # a kept doc_id that is there three times
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = []
+    real = substrings.write_table
+
+    def seen(df, name):
+        out = real(df, name)
+        if name in ("lost", "runs"):
+            joined.append((name, out[0].where("kind = 0").count() if name == "lost" else out[0].count()))
+        return out
+
+    monkeypatch.setattr(substrings, "write_table", seen)
+    before = scratch_paths()
+    left = substrings.remove_repeats(docs)
+    tables = {p.rpartition("/")[2].rpartition("-")[0] for p in scratch_paths() - before}
+    assert not tables & {"paragraphs", "lines", "met", "classes"}
+    assert {r["doc_id"]: r["text"].split() for r in left.where("doc_id > 0").collect()} == dict(enumerate(own_words[1:], 1))
+    assert joined[0][1] > 3 * 39 and dict(joined)["runs"] <= 2 * 39
+
+
 def test_short_and_wrapped_paragraphs(spark):
     rng = random.Random(15)
     short, near, five = [f"s{i}" for i in range(16)], [f"n{i}" for i in range(36)], "one two three four five"
