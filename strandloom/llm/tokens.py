@@ -15,7 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,10 @@ class _Table:
         self.starts, self.lengths, self.uses = (np.zeros(1 << 16, t) for t in (np.int64, np.int32, np.int32))
         self.n = self.n_ids = 0
 
+    def find(self, pieces: Sequence[str]) -> np.ndarray:
+        """The number of each piece, or -1: a piece is looked up once, as that is most of what known pieces cost."""
+        return np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+
     def add(self, pieces: Sequence[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, m = self.n + len(pieces), self.n_ids + len(ids)
         if m > len(self.ids):
@@ -208,16 +212,18 @@ class TextEncoder:
         later = np.ones(len(pieces), bool)
         later[first] = False
         coded = pieces.filter(pa.array(later)).dictionary_encode()
-        distinct, table = coded.dictionary.to_pylist(), self.table
+        distinct, table = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.table  # to_pylist makes a scalar of each
         is_long = pc.greater(pc.utf8_length(coded.dictionary), LONGEST_KEPT).to_numpy(zero_copy_only=False)
         long = [distinct[k] for k in np.flatnonzero(is_long)]
         short = [p for p in distinct if len(p) <= LONGEST_KEPT] if long else distinct
-        new = [p for p in short if p not in table.number]
-        if table.n + 2 * len(new) > TABLE_SIZE:
+        known = table.find(short)
+        if table.n + 2 * int((known < 0).sum()) > TABLE_SIZE:
             table.shrink(max(min(TABLE_SIZE // 2, TABLE_SIZE - 2 * len(short)), 0))
-            new = [p for p in short if p not in table.number]
+            known = table.find(short)
+        missing = np.flatnonzero(known < 0)
+        new = [short[k] for k in missing.tolist()]
         self._learn(new)
-        known = np.fromiter(map(table.number.__getitem__, short), np.int64, len(short))
+        known[missing] = table.find(new)
         table.uses[known] += 1
         # pieces of the table, then the first pieces of the texts and long pieces, which are not kept
         extra, of_extra = self._one_by_one([*pieces.take(pa.array(first)).to_pylist(), *(p if p[:1] == "\n" else " " + p for p in long)])

@@ -144,6 +144,33 @@ def test_encoder_equals_the_library():
     assert list(enc.encode_all(texts)) == [np.array(e.ids, "<u4").tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_known_pieces_are_looked_up_once():
+    class Counted(dict):
+        lookups = 0
+
+        def _count(self):
+            Counted.lookups += 1
+
+        def get(self, *a):
+            self._count()
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self._count()
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            self._count()
+            return super().__contains__(k)
+
+    enc = tokens.TextEncoder(BYTE_BPE)
+    text = " ".join(f"word{i}" for i in range(500))
+    want = np.array(enc.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert enc.encode(text) == want
+    enc.table.number = Counted(enc.table.number)
+    assert enc.encode(text) == want and Counted.lookups <= 500
+
+
 def library(path, docs):
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
