@@ -88,6 +88,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
 #: With this, Spark removes the shuffle files of an execution when it is over.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+ROWS_A_FILE = 100_000
+
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` has."""
@@ -113,6 +115,18 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def fewer_files(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, of a few numbers a row and just dealt out by a shuffle, in fewer partitions, so that writing it makes fewer files.
+
+    With ``rows``, the most it can have, it is a partition for each ``ROWS_A_FILE``; else one for eight shuffle partitions, but as many as there are cores.
+    On a local file system each new file costs a process (Hadoop's chmod).
+    """
+    if rows is not None:
+        return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(src, dst) longs -> (node, component): the smallest node reachable, for every node that has an edge.
 
@@ -123,7 +137,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     spark = edges.sparkSession
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e, path = write_table(e, "edges")
+    e, path = write_table(fewer_files(e), "edges")
     seen = _print(e)
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u"))
@@ -131,7 +145,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt, nxt_path = write_table(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # neither step makes more edges than it gets
+        nxt, nxt_path = write_table(fewer_files(small.union(low.select("u", F.col("m").alias("v"))).distinct(), seen[0]), "edges")
         now = _print(nxt)
         remove_path(spark, path)
         e, path = nxt, nxt_path

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import connected_components, write_table
+from strandloom.llm.common import connected_components, fewer_files, write_table
 
 #: Members of a bucket that are compared in full.
 DENSE = 8
@@ -64,7 +64,7 @@ def _crowds(members: DataFrame) -> DataFrame:
 def _met(items: DataFrame) -> DataFrame:
     """(key, id) of the keys that different ids have. Most keys have one id only, which is told by its minimum and maximum alone."""
     members = items.select("id", F.explode("keys").alias("key"))
-    shared, _ = write_table(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"), "keys")
+    shared, _ = write_table(fewer_files(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")), "keys")
     return members.join(shared, "key", "left_semi").distinct()
 
 
@@ -168,13 +168,13 @@ def similar_links(items: DataFrame, similarity: float, dense: int = DENSE, round
     left = large
     for _ in range(rounds):
         stars = left.where("id <> star").select(F.col("star").alias("src"), F.col("id").alias("dst")).distinct()
-        told, _ = write_table(_measured(stars, sets, similarity).distinct(), "stars")
+        told, _ = write_table(fewer_files(_measured(stars, sets, similarity).distinct()), "stars")
         links.append(told.where("linked").select("src", "dst"))
         seen = left.join(told, (F.col("star") == F.col("src")) & (F.col("id") == F.col("dst"))).select("key", "id", "n", "linked", "d")
         left, _ = write_table(_crowds(seen.where("not linked").select("key", "id", "n")), "buckets")
         if left.isEmpty():
             break
-    told, _ = write_table(reduce(DataFrame.union, links).distinct(), "links")
+    told, _ = write_table(fewer_files(reduce(DataFrame.union, links).distinct()), "links")
     apart, _ = write_table(_apart(large.select("key", "id"), connected_components(told), sets, similarity), "apart")
     return told.union(apart)
 
@@ -193,7 +193,7 @@ def links_between(items: DataFrame, components: DataFrame, similarity: float, ra
     bits = F.aggregate(F.zip_with("a.fp", "b.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")))
     met = met.where(F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")).where(bits <= radius)
-    pairs, _ = write_table(met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct(), "pairs")
+    pairs, _ = write_table(fewer_files(met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()), "pairs")
     large = own.where(F.col("m") > dense).select("key", "id")
     wanted = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).union(large.select("id")).distinct()
     sets, _ = write_table(sets_of(wanted).select("id", F.col("shingles").alias("s")), "sets")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strandloom.llm import bpe, chat, embeddings, gif, langid, packing, quality, similar, simhash, substrings, token_output, tokens
+from strandloom.llm import bpe, chat, common, embeddings, gif, langid, packing, quality, similar, simhash, substrings, token_output, tokens
 from strandloom.llm.common import connected_components, scratch_path, scratch_paths
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,33 @@ def test_components(spark):
     assert connected_components(df.where("false")).count() == 0
 
 
+def test_components_leave_few_files(spark, monkeypatch):
+    rng = random.Random(35)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(400)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    made, write = [], common.write_table
+
+    def counted(table, name):
+        out, path = write(table, name)
+        made.append(len(out.inputFiles()))
+        return out, path
+
+    monkeypatch.setattr(common, "write_table", counted)
+    monkeypatch.setattr(common, "ROWS_A_FILE", 250, raising=False)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = classes(600, edges)
+    assert got == {x: want[x] for e in edges if e[0] != e[1] for x in e}
+    assert made[0] == 8 and len(made) > 2 and max(made[1:]) <= 2
+
+
 def test_simhash(spark, docs, empty):
     rows = sorted(docs.select("doc_id", "text").distinct().collect())
     got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.simhash_classes(docs).collect()}
