@@ -323,13 +323,13 @@ def cut_text(text: str, spans: list[tuple[int, int, int, int, list[int] | None,
 
 
 def runs_of(spans: DataFrame) -> DataFrame:
-    """(doc_id, kept_doc_id, chunk, places): content-defined paragraphs that a document lost, those of one copied passage in one row.
+    """(doc_id, kept_doc_id, chunk, places): content-defined paragraphs that a document lost, those that begin in the same ``CHUNK`` words of a kept document in one row.
 
-    They lie as far apart there as in the kept document and begin in the same ``CHUNK`` words of it; ``places`` has their (first, kept_first, id).
+    However often a passage is copied in a document, its words are joined once; ``places`` has their (first, kept_first, id).
     """
     of = F.floor(F.col("kept_first") / CHUNK).cast("int")
-    own = spans.where("kind = 0").select("doc_id", "kept_doc_id", of.alias("chunk"), (F.col("first") - F.col("kept_first")).alias("shift"), "first", "kept_first", "id")
-    return own.groupBy("doc_id", "kept_doc_id", "chunk", "shift").agg(F.collect_list(F.struct("first", "kept_first", "id")).alias("places")).drop("shift")
+    own = spans.where("kind = 0").select("doc_id", "kept_doc_id", of.alias("chunk"), "first", "kept_first", "id")
+    return own.groupBy("doc_id", "kept_doc_id", "chunk").agg(F.collect_list(F.struct("first", "kept_first", "id")).alias("places"))
 
 
 def kept_words(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -95,6 +95,19 @@ def test_components_leave_few_files(spark, monkeypatch):
     assert made[0] == 8 and len(made) > 2 and max(made[1:]) <= 2
 
 
+def test_a_passage_is_joined_once_a_document(spark):
+    rng = random.Random(36)
+    passage = prose(rng, 120)
+    texts = [passage, *(" ".join(f"{prose(rng, 40)} {passage}" for _ in range(5)) + " " + prose(rng, 30) for _ in range(3))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lost = substrings.repeats(docs).where("removed").select("doc_id", "kind", "id", "first", "size", "kept_doc_id", "kept_first").cache()
+    runs = substrings.runs_of(lost.where("kept_doc_id = 0")).collect()
+    assert len(runs) == len({(r["doc_id"], r["chunk"]) for r in runs}) > 0
+    assert max(len({p["first"] - p["kept_first"] for p in r["places"]}) for r in runs) == 5
+    left = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs).collect()}
+    assert left[0] == passage and all(passage not in left[i] and len(left[i].split()) == 230 for i in (1, 2, 3))
+
+
 def test_simhash(spark, docs, empty):
     rows = sorted(docs.select("doc_id", "text").distinct().collect())
     got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.simhash_classes(docs).collect()}
