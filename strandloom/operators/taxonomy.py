@@ -132,14 +132,18 @@ def weighted_lca(entries: Column, error: float = 0.0, max_depth: int = 128) -> C
 
 
 def annotate_lca(df: DataFrame, taxa: DataFrame, slot: str, error: float = 0.0, source: str = "taxid") -> DataFrame:
-    """``<slot>_taxid``, ``_name`` and ``_error`` from the histogram of taxids; unknown taxids are left out."""
-    tagged = df.withColumn("__row", F.monotonically_increasing_id())
-    long = tagged.select("__row", F.explode(F.try_element_at("merged", F.lit(source))).alias("t", "w")).withColumn("t", clean_taxid(F.col("t")))
+    """``<slot>_taxid``, ``_name`` and ``_error`` from the histogram of taxids; unknown taxids are left out.
+
+    Records meet their result by a digest of the histogram: a number given to rows would differ where they are computed again.
+    """
+    entries = F.array_sort(F.map_entries(F.try_element_at("merged", F.lit(source))))
+    tagged = df.withColumn("__entries", entries).withColumn("__key", F.sha2(F.to_json("__entries"), 256))
+    long = tagged.select("__key", "__entries").dropDuplicates(["__key"]).select("__key", F.inline("__entries").alias("t", "w")).withColumn("t", clean_taxid(F.col("t")))
     long = long.join(taxa.select(F.col("taxid").alias("t"), "path"), "t")
-    per = long.groupBy("__row").agg(F.collect_list(F.struct("path", F.col("w").cast("double").alias("weight"))).alias("e"))
-    found = per.select("__row", weighted_lca(F.col("e"), error).alias("l"))
-    out = tagged.join(found, "__row", "left")
-    return set_attributes(out, {f"{slot}_taxid": F.col("l.taxid"), f"{slot}_name": F.col("l.name"), f"{slot}_error": F.round(1 - F.col("l.share"), 3)}).drop("__row", "l")
+    per = long.groupBy("__key").agg(F.collect_list(F.struct("path", F.col("w").cast("double").alias("weight"))).alias("e"))
+    found = per.select("__key", weighted_lca(F.col("e"), error).alias("l"))
+    out = tagged.join(found, "__key", "left")
+    return set_attributes(out, {f"{slot}_taxid": F.col("l.taxid"), f"{slot}_name": F.col("l.name"), f"{slot}_error": F.round(1 - F.col("l.share"), 3)}).drop("__key", "__entries", "l")
 
 
 def named(taxa: DataFrame, *patterns: str, fixed: bool = False, ignore_case: bool = True) -> DataFrame:

@@ -212,11 +212,11 @@ BOUGHT = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_cus
     FROM t JOIN best USING (g) JOIN bn USING (g)""",
 )
 def _(spark, d):
-    nations = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nations = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("l_suppkey is not null and c_nationkey is not null")
     counts = nations.groupBy("l_suppkey", F.concat(F.lit("n"), "c_nationkey").alias("taxid")).agg(F.count(F.lit(1)).alias("w"))
     own = counts.groupBy(F.col("l_suppkey").cast("string").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("taxid", "w"))).alias("m"))  # at most one entry for each nation
     out = taxonomy.annotate_lca(as_records(own.select("id", F.lit("").alias("sequence"), F.create_map(F.lit("taxid"), "m").alias("merged"))), paths(spark, d), "common", error=0.75)
-    return out.select("id", attribute("common_taxid").alias("taxid"))
+    return out.select("id", attribute("common_taxid").alias("taxid")).where("taxid is not null")  # a supplier of known nations only
 
 
 # --- k-mers -------------------------------------------------------------------

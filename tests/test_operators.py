@@ -210,3 +210,17 @@ def test_clusters_and_low_complexity(spark):
     assert masked["q"] == a and "." * 40 in masked["p"] and len(masked["p"]) == 140
     parts = complexity.extract_regions(low, low=False, k=20).collect()
     assert all("a" * 30 not in r["sequence"] for r in parts)
+
+
+def _any_order(df):
+    """The rows in another order, and with other row numbers, each time they are computed."""
+    return df.coalesce(1).mapInPandas(lambda frames: (f.sample(frac=1) for f in frames), df.schema)
+
+
+def test_annotate_lca_of_rows_in_any_order(spark):
+    tree = [("1", "1", "no rank", "root")] + [(f"n{i}", "1", "genus", f"N{i}") for i in range(30)]
+    taxa = taxonomy.with_paths(spark.createDataFrame(tree, "taxid string, parent string, rank string, scientific_name string"))
+    rows = spark.createDataFrame([(f"s{i}", f"n{i % 31}") for i in range(200)], "id string, t string")
+    df = as_records(_any_order(rows).select("id", F.lit("").alias("sequence"), F.create_map(F.lit("taxid"), F.create_map("t", F.lit(2).cast("long"))).alias("merged")))
+    out = {r["id"]: r["t"] for r in taxonomy.annotate_lca(df, taxa, "common").select("id", attribute("common_taxid").alias("t")).collect()}
+    assert out == {f"s{i}": f"n{i % 31}" if i % 31 < 30 else None for i in range(200)}
