@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
@@ -59,21 +59,26 @@ def add_length(df: DataFrame, key: str = "seq_length", where: Column | None = No
 
 
 def number(df: DataFrame, key: str = "seq_number", order: str = "input_order") -> DataFrame:
-    """Numbers from 1 in input order.
+    """Numbers from 1 in input order, rows without one last.
 
-    Rows are sorted by range and numbered within partitions; what precedes a partition comes from one
-    count per partition, so no task sees all rows.
+    Rows are dealt to ranges and numbered within them; what precedes a range comes from one count per range, so no task
+    sees all rows. The bounds are taken once, from a sample, and are literals in the counts and in the rows: ranges that
+    Spark takes differ between two jobs. Every row is counted and numbered, whatever the bounds.
     """
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
-    first = dealt.groupBy("__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    sizes = sorted((r["__part"], r["__n"]) for r in first.collect())  # one row per partition
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).orderBy(F.rand()).limit(8 * parts).collect())
+    bounds = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+    kind = df.schema[order].dataType
+    above = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    dealt = df.withColumn("__part", F.when(F.col(order).isNull(), len(bounds) + 1).otherwise(above))
+    sizes = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())  # one row per range
     before, total = [], 0
     for part, n in sizes:
-        before += [F.lit(part), F.lit(total)]
+        before += [F.lit(part), F.lit(total).cast("bigint")]
         total += n
-    offset = F.create_map(*before)[F.col("__part")] if before else F.lit(0)
-    at = F.col("__row") - F.shiftleft(F.col("__part").cast("bigint"), 33)
-    return set_attributes(dealt.withColumn("__number", offset + at + 1), {key: F.col("__number")}).drop("__part", "__row", "__number")
+    offset = F.create_map(*before)[F.col("__part")] if before else F.lit(0).cast("bigint")
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(order))
+    return set_attributes(dealt.withColumn("__at", at).withColumn("__number", offset + F.col("__at")), {key: F.col("__number")}).drop("__part", "__at", "__number")
 
 
 def cut(df: DataFrame, start: int | None = None, end: int | None = None, where: Column | None = None) -> DataFrame:

@@ -224,3 +224,13 @@ def test_annotate_lca_of_rows_in_any_order(spark):
     df = as_records(_any_order(rows).select("id", F.lit("").alias("sequence"), F.create_map(F.lit("taxid"), F.create_map("t", F.lit(2).cast("long"))).alias("merged")))
     out = {r["id"]: r["t"] for r in taxonomy.annotate_lca(df, taxa, "common").select("id", attribute("common_taxid").alias("t")).collect()}
     assert out == {f"s{i}": f"n{i % 31}" if i % 31 < 30 else None for i in range(200)}
+
+
+def test_number_of_many_rows_and_of_none(spark):
+    from strandloom.operators import annotate
+
+    df = as_records(spark.range(60000).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("acgt"), 9).alias("sequence"), (F.col("id") * 7919 % 60000).alias("input_order")).withColumn("input_order", F.when(F.col("id") != "0", F.col("input_order"))))
+    out = annotate.number(df).select("input_order", attribute("seq_number", "bigint").alias("n")).collect()
+    assert sorted(r["n"] for r in out) == list(range(1, 60001)) and all(r["n"] == (r["input_order"] or 60000) for r in out)
+    assert annotate.number(df.where("false")).count() == 0
+    assert sorted(r["n"] for r in annotate.number(df.limit(50).withColumn("input_order", F.lit(None).cast("long"))).select(attribute("seq_number", "bigint").alias("n")).collect()) == list(range(1, 51))
