@@ -193,28 +193,116 @@ def coordinates() -> Column:
     return F.from_json(raw_attribute("landmark_coord"), "array<int>")
 
 
+#: Queries, and references, that one task of ``nearest_in_space`` compares.
+SPACE_TILE = (4096, 8192)
+
+
+def _by_length(vectors: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) for each length of the vectors."""
+    vectors = vectors.tolist()
+    sizes = np.array([len(v) for v in vectors], int)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        yield at, np.array([vectors[k] for k in at], float).reshape(len(at), n)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed in the order of ``squared_distance``."""
+    out = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        out += (x[:, k] - y[:, k]) ** 2
+    return out
+
+
+def _nearest_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the nearest rows of y, NaN being the largest distance.
+
+    Products tell which rows may be nearest, within the bound of their rounding; those are compared term by term.
+    """
+    square, other = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    told = square[:, None] + other - 2 * (x @ y.T)
+    slack = 32 * (x.shape[1] + 8) * np.finfo(float).eps * (square + other.max()) + 1e-300
+    may = told <= (told.min(axis=1) + slack)[:, None] if np.isfinite(told).all() else np.ones(told.shape, bool)
+    i, j = np.nonzero(may)
+    d = np.concatenate([_squares(x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)])
+    least = np.fmin.reduceat(d, np.searchsorted(i, np.arange(len(x))))[i]
+    kept = (d == least) | (np.isnan(d) & np.isnan(least))
+    return i[kept], j[kept], d[kept]
+
+
 def nearest_in_space(queries: DataFrame, references: DataFrame, vector: str, key: str, cells: int = 64) -> DataFrame:
-    """(key, reference, distance): references at the smallest squared distance between vectors.
+    """(key, reference, distance): references at the smallest squared distance between vectors of their length.
 
-    References are dealt to cells around ``cells`` of their own vectors. A query looks into its own cell
-    first; then only into cells that the triangle inequality cannot rule out at the distance found.
+    References are dealt to cells around ``cells`` of their own vectors, and neighbouring or split cells to blocks of
+    bounded size. The nearest centre bounds a query's distance, and the query goes to the blocks of the cells that the triangle
+    inequality cannot rule out; vectors that are not finite, or of no centre's length, rule out none. A tile of queries and a
+    block are compared by matrix products.
     """
-    centres = [(i, list(map(float, r[0]))) for i, r in enumerate(references.select(vector).where(F.col(vector).isNotNull()).orderBy(F.xxhash64(vector)).limit(cells).collect())]
-    if not centres:
-        return queries.select(key, F.lit(None).cast("string").alias("reference"), F.lit(None).cast("double").alias("distance")).where("false")
-    centre = F.array(*[F.array(*[F.lit(x) for x in c]) for _, c in centres])
-    to_centres = lambda v: F.transform(centre, lambda c: F.sqrt(squared_distance(v, c)))
-    r = references.select(F.col(key).alias("reference"), F.col(vector).alias("rv"), to_centres(F.col(vector)).alias("rd"))
-    r = r.withColumn("cell", F.array_position("rd", F.array_min("rd")).cast("int") - 1).withColumn("rc", F.array_min("rd")).drop("rd")
-    q = queries.select(key, F.col(vector).alias("qv"), to_centres(F.col(vector)).alias("qd")).withColumn("cell", F.array_position("qd", F.array_min("qd")).cast("int") - 1)
-    first = q.join(r, "cell").groupBy(key).agg(F.min(squared_distance("qv", "rv")).alias("bound"))
-    radii = r.groupBy("cell").agg(F.max("rc").alias("radius"))
-    radius = F.map_from_entries(F.array(*[F.struct(F.lit(x["cell"]).alias("key"), F.lit(x["radius"]).alias("value")) for x in radii.collect()]))  # at most ``cells`` rows
-    bounded = q.drop("cell").join(first, key, "left")
-    may = F.filter(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda c: F.map_contains_key(radius, c) & (F.col("bound").isNull() | (F.element_at("qd", c + 1) - F.element_at(radius, c) <= F.sqrt("bound") + 1e-9)))
-    near = bounded.select(key, "qv", F.explode(may).alias("cell")).join(r, "cell").withColumn("distance", squared_distance("qv", "rv"))
-    least = near.groupBy(key).agg(F.min("distance").alias("least"))
-    return near.join(least, key).where("distance = least").select(key, "reference", "distance")
+    told = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+    q, r = queries.where(told).select(key, F.col(vector).alias("qv")), references.where(told).select(F.col(key).alias("reference"), F.col(vector).alias("rv"))
+    kinds = (q.schema[key].dataType.simpleString(), r.schema["reference"].dataType.simpleString())
+    out = f"`{key}` {kinds[0]}, reference {kinds[1]}, distance double"
+    finite = F.forall("rv", lambda x: ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
+    centres = [np.array(x[0], float) for x in r.where(finite).select("rv").distinct().orderBy(F.xxhash64("rv")).limit(cells).collect()]
+
+    def to_centres(x: np.ndarray) -> np.ndarray:
+        """Squared distances to all centres, infinite to those of another length."""
+        return np.array([_squares(x, np.broadcast_to(c, x.shape)) if len(c) == x.shape[1] else np.full(len(x), np.inf) for c in centres] or [np.full(len(x), np.inf)]).T
+
+    @F.pandas_udf("cell int, away double")
+    def cell_of(vectors: pd.Series) -> pd.DataFrame:
+        cell, away = np.full(len(vectors), -1), np.zeros(len(vectors))
+        with np.errstate(all="ignore"):
+            for at, x in _by_length(vectors):
+                d = to_centres(x)
+                sure = np.isfinite(x).all(axis=1) & np.isfinite(d.min(axis=1))
+                cell[at[sure]], away[at[sure]] = d[sure].argmin(axis=1), np.sqrt(d[sure].min(axis=1))
+        return pd.DataFrame({"cell": cell.astype("int32"), "away": away})
+
+    dealt = r.withColumn("__c", cell_of("rv"))
+    found = sorted(map(tuple, dealt.groupBy("__c.cell").agg(F.max("__c.away"), F.count(F.lit(1))).collect()))  # a row for each cell
+    radius, blocks, block, room = {}, {}, -1, 0
+    for cell, most, n in found:
+        radius[cell] = most
+        if n > room:  # the cell has blocks of its own, or begins one
+            first, block = block + 1, block + -(-n // SPACE_TILE[1])
+            blocks[cell], room = (first, block - first + 1), SPACE_TILE[1] - n if n < SPACE_TILE[1] else 0
+        else:
+            blocks[cell], room = (block, 1), room - n
+    if not found:
+        return q.select(key, F.lit(None).cast(kinds[1]).alias("reference"), F.lit(None).cast("double").alias("distance")).where("false")
+
+    @F.pandas_udf("blocks array<int>, bound double")
+    def blocks_of(vectors: pd.Series) -> pd.DataFrame:
+        into, bound = [None] * len(vectors), np.full(len(vectors), np.inf)
+        with np.errstate(all="ignore"):
+            for at, x in _by_length(vectors):
+                d = to_centres(x)
+                for k, own, row in zip(at, d.min(axis=1), np.sqrt(d)):
+                    near = [c for c in blocks if not np.isfinite(own) or c < 0 or row[c] - radius[c] <= np.sqrt(own) * (1 + 1e-9) + 1e-9]
+                    into[k] = sorted({b for c in near for b in range(blocks[c][0], sum(blocks[c]))})
+                    bound[k] = own if np.isfinite(own) else np.inf
+        return pd.DataFrame({"blocks": into, "bound": bound})
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        with np.errstate(all="ignore"):
+            for s, x in _by_length(a["qv"]):
+                for t, y in _by_length(b["rv"]):
+                    for k in range(0, len(x) if x.shape[1] == y.shape[1] else 0, 256):
+                        i, j, d = _nearest_rows(x[k : k + 256], y)
+                        i = s[i + k]
+                        near = ~(d > a["bound"].to_numpy()[i])
+                        parts.append(pd.DataFrame({key: a[key].to_numpy()[i[near]], "reference": b["reference"].to_numpy()[t[j[near]]], "distance": d[near]}))
+        return pd.concat(parts) if parts else pd.DataFrame({key: a[key][:0], "reference": b["reference"][:0], "distance": np.zeros(0)})
+
+    rows = q.count()
+    tiles = max(1, -(-rows // min(SPACE_TILE[0], max(256, rows // 32))))
+    asked = q.withColumn("i", F.pmod(F.xxhash64(key, "qv"), F.lit(tiles)).cast("int")).withColumn("__b", blocks_of("qv")).select(key, "qv", "i", "__b.bound", F.explode("__b.blocks").alias("j"))
+    first, n = (F.create_map(*[F.lit(v) for c in blocks for v in (c, blocks[c][k])])[F.col("__c.cell")] for k in (0, 1))
+    held = dealt.select("reference", "rv", (first + F.pmod(F.xxhash64("reference", "rv"), n)).cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    near = asked.groupBy("i", "j").cogroup(held.groupBy("i", "j")).applyInPandas(compare, out).withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))  # pandas has no NaN but null
+    return near.withColumn("__least", F.min("distance").over(Window.partitionBy(key))).where("distance = __least").drop("__least")
 
 
 GEOMETRIC_KEY = "geomref_index"

@@ -245,3 +245,28 @@ def test_one_difference_pairs_meet_once_and_are_not_sent_to_the_driver(spark):
     want = sorted(("x", a, b, s, t) for a, s in ids for b, t in ids if a < b and one_difference(s, t)[0] == 1)
     assert want and sorted(map(tuple, out.collect())) == want
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_in_space_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    nan, inf = float("nan"), float("inf")
+    marks = [[float(rng.randrange(9)) for _ in range(3)] for _ in range(40)] + [[1.0, 2.0], [3.0, 2.0], [inf, 0.0, 0.0], [nan, 0.0, 0.0]]
+    asked = marks + [[rng.random() * 9 for _ in range(3)] for _ in range(300)] + [[2.0, 2.0], [1e200, 0.0, 0.0], [1e-200, 0.0, 0.0]]
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(asked)] + [("none", None)], "id string, v array<double>")
+    refs = spark.createDataFrame([(f"r{i}", v) for i, v in enumerate(marks)] + [("none", None)], "id string, v array<double>")
+
+    def distance(a, b):
+        d = sum((x - y) ** 2 if abs(x - y) < 1e150 else inf if x - y == x - y else nan for x, y in zip(a, b))
+        return (d != d, 0.0 if d != d else d)  # NaN is the largest
+
+    want = set()
+    for i, a in enumerate(asked):
+        d = {f"r{k}": distance(a, b) for k, b in enumerate(marks) if len(a) == len(b)}
+        want |= {(f"q{i}", k) for k, x in d.items() if x == min(d.values())}
+    for tile in ((4096, 8192), (4096, 7)):
+        monkeypatch.setattr(assign, "SPACE_TILE", tile)
+        out = assign.nearest_in_space(queries, refs, "v", "id", cells=4)
+        rows = out.collect()
+        assert len(rows) == len(want) and {(r["id"], r["reference"]) for r in rows} == want
+    assert "CoGroups" in out._jdf.queryExecution().optimizedPlan().toString()  # pairs are no rows
+    assert assign.nearest_in_space(queries, refs.where("false"), "v", "id").count() == 0
