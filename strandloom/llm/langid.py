@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.common import free_name
+from strandloom.llm.worker import claim
 
 UNKNOWN = "und"
 WINDOW = 1 << 20
@@ -153,6 +154,7 @@ def predict(docs: DataFrame, model: KernelModel, lang: str = "lang_pred", score:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks' grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", lambda: None)
         for b in batches:
             names, scores = shared.value.predict(b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang, score])

@@ -40,6 +40,7 @@ from strandloom.llm.common import connected_components, write_table
 from strandloom.llm.similar import links_between, similar_links
 from strandloom.llm.substrings import SHINGLE as NEAR_SHINGLE
 from strandloom.llm.substrings import SIMILARITY, band_keys, line_ids, mix, shingles_of, words_of
+from strandloom.llm.worker import claim
 
 SEED = 42
 SHINGLE = 3
@@ -186,6 +187,7 @@ _NEAR_SCHEMA = "doc_id long, id long, n int, fp array<long>, keys array<long>, p
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near", _near_pivots.cache_clear)
     for b in (part for whole in batches for part in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))):
         sets = [_near_shingles(text) for text in b.column("text").to_pylist()]
         votes = np.array([_votes(found) for found in sets])
@@ -198,6 +200,7 @@ def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("near", _near_pivots.cache_clear)
     for b in (part for whole in batches for part in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))):
         sets = [_near_shingles(t) for t in b.column("text").to_pylist()]
         same = [_near_id(s) == own for s, own in zip(sets, b.column("id").to_pylist())]  # another row may share the doc_id

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from strandloom.llm.common import connected_components, free_name, remove_path, scratch_of_thread, write_table
 from strandloom.llm.similar import similar_links
+from strandloom.llm.worker import claim
 
 SHINGLE = 5
 WORDS = 24
@@ -196,6 +197,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """One row per paragraph: kind 0, content-defined, or 1, a line or block, with its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings", lambda: None)
         for b in (part for whole in batches for part in together(whole)):
             texts = Texts.of(b.column("text").to_pylist())
             places, lines = texts.anchors(), texts.lines()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -12,4 +15,14 @@ def claim(name: str, release: Callable[[], None]) -> None:
     if name not in _held:
         for other in list(_held):
             _held.pop(other)()
+        _give_back()
         _held[name] = release
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, as the executor counts what its workers hold; where the C library has no call for it, it stays."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return

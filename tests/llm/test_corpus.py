@@ -676,3 +676,14 @@ def test_rows_without_or_with_equal_ids(spark):
     assert (2, 2) in near and (None, None) in near
     turns = spark.createDataFrame([(None, None, "user", "hi"), (None, 1, None, None), (4, 1, "user", "hi"), (4, 1, "user", "hi")], "conv_id long, turn long, role string, text string")
     assert {(r["conv_id"], r["n_turns"]) for r in chat.render(turns).collect()} == {(None, 2), (4, 2)}
+
+
+def test_a_worker_keeps_one_operators_table():
+    import pyarrow as pa
+
+    from strandloom.llm import quality, simhash
+
+    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array(["one two three four five six"])})
+    quality.features("some words of a text")
+    assert quality._words and [b.num_rows for b in simhash._near_batches(iter([batch]))] == [1]
+    assert not quality._words  # what near-dedup does not read is not held meanwhile
