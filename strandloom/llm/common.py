@@ -6,13 +6,17 @@ import atexit
 import re
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm.worker import give_back
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
@@ -112,9 +116,45 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    relieve_driver(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: The driver is relieved again after so many seconds, or so many times as long as it took, whichever is more.
+REST_S, REST_X = 5, 20
+_relieved_until = 0.0
+
+
+def relieve_driver(spark: SparkSession) -> None:
+    """What plans that are over have left in the driver goes back to the system, now and then.
+
+    A loop over tables leaves plans, broadcasts and the free pages of some hundred short-lived threads; its JVM would let its heap
+    and its C library's arenas grow to their limits before it gives any back. Broadcasts go from the executors too, once they are garbage here.
+    """
+    global _relieved_until
+    began = time.monotonic()
+    if began < _relieved_until:
+        return
+    spark._jvm.java.lang.System.gc()
+    _trim_jvm(spark)
+    give_back()
+    now = time.monotonic()
+    _relieved_until = now + max(REST_S, REST_X * (now - began))
+
+
+def _trim_jvm(spark: SparkSession) -> str:
+    """What the JVM's C library says of the free pages it gave back; empty if this JVM has no such command."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # the server's class is hidden, so its method is taken from the interface
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args) or ""
+    except Py4JError:
+        return ""
+
+
 def fewer_files(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df``, of a few numbers a row and just dealt out by a shuffle, in fewer partitions, so that writing it makes fewer files.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import free_name
+from strandloom.llm.common import free_name, relieve_driver
 from strandloom.llm.worker import claim
 
 BUCKETS = 1 << 18
@@ -142,7 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> OrdinalMo
     found = docs.select("doc_id", "text").join(rated, "doc_id").select("h", "grade", "text").mapInArrow(_with_features, "h long, grade int, x binary")
     # features are made where the texts are; of those, a bounded number goes on
     rows = found.orderBy("h", "grade", "x").limit(max_rows).collect()
-    return fit_ordinal([np.frombuffer(bytes(r["x"]), np.int32) for r in rows], np.array([r["grade"] for r in rows], int))
+    model = fit_ordinal([np.frombuffer(bytes(r["x"]), np.int32) for r in rows], np.array([r["grade"] for r in rows], int))
+    del rows
+    relieve_driver(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, expected: str = "expected_grade", p_good: str = "p_good") -> DataFrame:

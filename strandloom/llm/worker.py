@@ -15,12 +15,12 @@ def claim(name: str, release: Callable[[], None]) -> None:
     if name not in _held:
         for other in list(_held):
             _held.pop(other)()
-        _give_back()
+        give_back()
         _held[name] = release
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the system, as the executor counts what its workers hold; where the C library has no call for it, it stays."""
+def give_back() -> None:
+    """Freed memory of this process goes back to the system, as an executor counts what its workers hold, and the driver its Python; where the C library has no call for it, it stays."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -687,3 +687,18 @@ def test_a_worker_keeps_one_operators_table():
     quality.features("some words of a text")
     assert quality._words and [b.num_rows for b in simhash._near_batches(iter([batch]))] == [1]
     assert not quality._words  # what near-dedup does not read is not held meanwhile
+
+
+def test_tables_relieve_the_driver(spark, monkeypatch):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1), raising=False)
+    monkeypatch.setattr(common, "_relieved_until", 0.0, raising=False)
+    monkeypatch.setattr(common, "REST_S", 3600, raising=False)
+    before = collections()
+    for _ in range(3):
+        common.write_table(spark.range(3), "relief")
+    assert collections() == before + 1 and given == [1]  # at once, and not again before it has rested
+    assert "Trim native heap" in common._trim_jvm(spark)
